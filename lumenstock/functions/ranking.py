@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,34 +23,46 @@ def descending(col: Column) -> Column:
     return F.coalesce(-col, F.lit(float("inf")))
 
 
-def spread_rank(
-    df: DataFrame,
-    order: list[Column],
-    bucket: list[Column],
-    keys: list[str] | None = None,
-    name: str = "rank",
-) -> DataFrame:
-    """Exact 1-based position of every row under `order`, within `keys`.
+SPLITS = 1024
+
+
+def _split_points(df: DataFrame, key: Column, sample_on: list[Column]) -> DataFrame:
+    """One row holding up to SPLITS - 1 sort keys that cut the data into even ranges.
+
+    The sample is the rows of least hash: random with respect to the order, the same on every
+    run and after any task retry, and of fixed size whatever the input.
+    """
+    sample = df.select(key.alias("_key"), F.xxhash64(*sample_on).alias("_h")).orderBy("_h").limit(SPLITS - 1)
+    return sample.agg(F.array_sort(F.collect_list("_key")).alias("_bounds"))
+
+
+def _range_of(df: DataFrame, key: Column) -> DataFrame:
+    """Number of split points not above the row's key, by binary search over the array."""
+    out = df.withColumn("_key", key).withColumn("_range", F.lit(0))
+    step = SPLITS // 2
+    while step:
+        probe = F.col("_range") + step
+        inside = (probe <= F.size("_bounds")) & (F.get(F.col("_bounds"), probe - 1) <= F.col("_key"))
+        out = out.withColumn("_range", F.when(inside, probe).otherwise(F.col("_range")))
+        step //= 2
+    return out.drop("_key", "_bounds")
+
+
+def spread_rank(df: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """Exact 1-based position of each row under `order` (ascending, NULL-free), within `keys`.
 
-    `bucket` are coarse ascending prefixes of `order` (each NULL-free). Rows are ranked inside
-    their bucket only; a cumulative count over the small bucket histogram supplies the offset.
-    No task ever sorts a whole key, and the result equals `row_number()` over the full order.
+    Rows are cut into even ranges of the whole sort key, ranked inside their range only, and
+    shifted by the count of earlier rows of the same key. Equal to `row_number()`, but no task
+    sorts a whole key, so one key (or the whole table) may hold any share of the rows.
     """
     keys = keys or []
-    names = [f"_b{i}" for i in range(len(bucket))]
-    tagged = reduce(lambda d, p: d.withColumn(p[0], p[1]), zip(names, bucket), df)
-    histogram = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    offsets = histogram.select(
-        *[F.col(c).alias(f"_k_{c}") for c in keys],
-        *[F.col(c).alias(f"_k{c}") for c in names],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
-    local = tagged.withColumn(
-        "_local", F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order))
-    )
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
-    on += [F.col(c) == F.col(f"_k{c}") for c in names]
-    joined = local.join(offsets, reduce(lambda a, b: a & b, on))
-    rank = (F.col("_offset") + F.col("_local")).alias(name)
-    return joined.select(*df.columns, rank)
+    cols = [F.col(k) for k in keys]
+    key = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate([*cols, *order])])
+    bounds = _split_points(df, key, [*cols, *order]).withColumn("_one", F.lit(1))
+    tagged = _range_of(df.withColumn("_one", F.lit(1)).join(bounds, "_one").drop("_one"), key)
+    counts = tagged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    joined = local.join(offsets, [*keys, "_range"])
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))

@@ -132,6 +132,13 @@ SELECT doc_id AS id, source, 'ref-' || (doc_id % 300) AS external_ref,
     CASE WHEN doc_id % 50 = 7 THEN 'PROMOTED' WHEN doc_id % 50 = 8 THEN 'REJECTED' ELSE 'DISCOVERED' END AS status,
     DATE '2025-06-01' + CAST(doc_id % 90 AS INTEGER) AS updated_at
 FROM documents JOIN part ON p_partkey = doc_id""",
+    "m_source": """
+SELECT key, 'Source ' || key AS name, k % 4 <> 0 AS is_enabled,
+    CASE WHEN k % 3 = 0 THEN 'UNKNOWN' ELSE 'ALLOWED' END AS tos_status,
+    CASE k % 5 WHEN 0 THEN 'DISALLOWED' WHEN 1 THEN 'NOT_APPLICABLE' ELSE 'ALLOWED' END AS robots_status,
+    CASE WHEN k % 7 <> 0 THEN DATE '2026-01-01' END AS reviewed_at,
+    CASE WHEN k % 11 <> 0 THEN 'R. Viewer' END AS reviewed_by
+FROM (SELECT source AS key, min(doc_id) AS k FROM documents GROUP BY source) s""",
     "m_claim": """
 SELECT doc_id AS id, doc_id % 200 AS candidate_id, source, lang AS field_key,
     CASE WHEN doc_id % 9 <> 0 THEN CAST(n_chars % 3 AS VARCHAR) END AS claimed_value,
@@ -153,11 +160,12 @@ SELECT doc_id AS candidate_id,
 
 
 def _needed(sql: str, extra: dict[str, str]) -> list[str]:
-    known, found = {**VIEWS, **extra}, []
+    known, seen, found = {**VIEWS, **extra}, set(), []
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in found and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 visit(known[name])
                 found.append(name)
 

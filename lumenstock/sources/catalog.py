@@ -285,6 +285,19 @@ class Catalog:
             F.date_add(F.lit("2025-06-01").cast("date"), (key % 90).cast("int")).alias("updated_at"),
         )
 
+    @cached_property
+    def source(self) -> DataFrame:
+        """Discovery sources with their eligibility review."""
+        k = F.col("k")
+        rows = self.table("documents").groupBy(F.col("source").alias("key")).agg(F.min("doc_id").alias("k"))
+        return rows.select(
+            "key", F.concat(F.lit("Source "), "key").alias("name"), (k % 4 != 0).alias("is_enabled"),
+            F.when(k % 3 == 0, "UNKNOWN").otherwise("ALLOWED").alias("tos_status"),
+            F.when(k % 5 == 0, "DISALLOWED").when(k % 5 == 1, "NOT_APPLICABLE").otherwise("ALLOWED").alias("robots_status"),
+            _null_if(k % 7 == 0, F.lit("2026-01-01").cast("date")).alias("reviewed_at"),
+            _null_if(k % 11 == 0, F.lit("R. Viewer")).alias("reviewed_by"),
+        )
+
     @cached_property
     def claim(self) -> DataFrame:
         key = F.col("doc_id")
