@@ -38,14 +38,14 @@ def _split_points(df: DataFrame, key: Column, sample_on: list[Column]) -> DataFr
 
 def _range_of(df: DataFrame, key: Column) -> DataFrame:
     """Number of split points not above the row's key, by binary search over the array."""
-    out = df.withColumn("_key", key).withColumn("_range", F.lit(0))
-    step = SPLITS // 2
-    while step:
-        probe = F.col("_range") + step
+    steps = F.array(*[F.lit(SPLITS >> i) for i in range(1, SPLITS.bit_length())])
+
+    def advance(at: Column, step: Column) -> Column:
+        probe = at + step
         inside = (probe <= F.size("_bounds")) & (F.get(F.col("_bounds"), probe - 1) <= F.col("_key"))
-        out = out.withColumn("_range", F.when(inside, probe).otherwise(F.col("_range")))
-        step //= 2
-    return out.drop("_key", "_bounds")
+        return F.when(inside, probe).otherwise(at)
+
+    return df.withColumn("_key", key).withColumn("_range", F.aggregate(steps, F.lit(0), advance)).drop("_key", "_bounds")
 
 
 def spread_rank(df: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "rank") -> DataFrame:

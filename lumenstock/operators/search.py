@@ -255,7 +255,7 @@ def search(m: dict, f: Filters, sort: str = "name", limit: int = 24, offset: int
         candidates = by_facts(_other_filters(m, f), f)
         parts.append(money.ceiling_flags(candidates, m["pricing"], f.price_max, f.price_currency))
     else:
-        parts.append(found.sparkSession.range(1).select(F.lit(False).alias("above_limit"), F.lit(False).alias("unprovable")))
+        parts.append(found.sparkSession.range(0, 1, 1, 1).select(F.lit(False).alias("above_limit"), F.lit(False).alias("unprovable")))
     folded = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     folded = folded.agg(*[F.max(c).alias(c) for c in folded.columns])
     code = lambda flag, label: F.when(F.col(flag), F.array(F.lit(label))).otherwise(F.array().cast("array<string>"))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import offers  # noqa: F401
+from . import catalogue, offers  # noqa: F401
 from .registry import QUERIES
 from .registry import oracle as ORACLE_SQL
 

@@ -181,4 +181,7 @@ def with_model(sql: str, extra: dict[str, str] | None = None) -> str:
         return sql.strip()
     known = {**VIEWS, **extra}
     ctes = ",\n".join(f"{name} AS ({known[name].strip()})" for name in names)
-    return f"WITH RECURSIVE {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    if body.upper().startswith("WITH "):
+        body = f"SELECT * FROM ({body}) q"
+    return f"WITH RECURSIVE {ctes}\n{body}"

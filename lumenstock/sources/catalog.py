@@ -43,7 +43,7 @@ class Catalog:
 
     @cached_property
     def region(self) -> DataFrame:
-        top = self.spark.range(1).select(
+        top = self.spark.range(0, 1, 1, 1).select(
             F.lit(GLOBAL_REGION_ID).alias("id"), F.lit(None).cast("int").alias("parent_id"),
             F.lit("GLOBAL").alias("type"), F.lit("GLOBAL").alias("code"), F.lit("Global").alias("name"),
         )
