@@ -113,7 +113,8 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN c_nationkey + 100 EN
     CASE WHEN o_orderkey % 11 = 0 THEN 8 END AS operating_hours_day,
     CASE o_orderkey % 9 WHEN 0 THEN true WHEN 1 THEN false END AS manipulation_required,
     CASE WHEN o_orderkey % 13 = 0 THEN 'SUPERVISED_AUTONOMY' END AS autonomy_required,
-    CASE WHEN o_orderkey % 3 = 1 THEN 'USD' END AS budget_currency,
+    CASE WHEN o_orderkey % 3 = 1 OR o_orderkey % 12 = 5 THEN 'USD' END AS budget_currency,
+    CASE WHEN o_orderkey % 12 = 5 THEN CAST(1000 AS DOUBLE) END AS budget_min,
     CASE WHEN o_orderkey % 3 = 1 THEN CAST(floor(o_totalprice / 10) AS DOUBLE) END AS budget_max,
     CASE WHEN o_orderkey % 17 = 0 THEN CAST(o_orderdate AS DATE) END AS required_by,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'BUY' WHEN '2' THEN 'RENT' WHEN '3' THEN 'RAAS'

@@ -259,7 +259,8 @@ class Catalog:
             F.when(key % 11 == 0, 8).alias("operating_hours_day"),
             F.when(key % 9 == 0, True).when(key % 9 == 1, False).alias("manipulation_required"),
             F.when(key % 13 == 0, "SUPERVISED_AUTONOMY").alias("autonomy_required"),
-            F.when(key % 3 == 1, "USD").alias("budget_currency"),
+            F.when((key % 3 == 1) | (key % 12 == 5), "USD").alias("budget_currency"),
+            F.when(key % 12 == 5, F.lit(1000.0)).alias("budget_min"),
             F.when(key % 3 == 1, F.floor(F.col("o_totalprice") / 10).cast("double")).alias("budget_max"),
             F.when(key % 17 == 0, F.col("o_orderdate").cast("date")).alias("required_by"),
             vocab.lookup(digit, {"1": "BUY", "2": "RENT", "3": "RAAS", "4": "UNKNOWN", "5": "FLEXIBLE"}, None).alias("preferred_transaction"),
