@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.ranking import first_per_key
 from ..functions.rules import accessible, budget_ramp, clamp01, payload_headroom, unless_known_false
+from ..functions.stage import materialize
 from ..functions.text import plain_number
 from .evidence import freshest_evidence
 
@@ -236,7 +237,7 @@ def _half_even(numerator: Column, unit: Column) -> Column:
 
 def contribution(sub: Column, weight: int, active: Column) -> Column:
     """weight x sub x 100 / active weight in hundredths, ties to even, in whole numbers only."""
-    scaled = F.round(sub * F.lit(1e9)).cast("long") * F.lit(weight * 10000)
+    scaled = F.floor(sub * F.lit(1e9) + F.lit(0.5)) * F.lit(weight * 10000)
     return _half_even(scaled, active.cast("long") * F.lit(1_000_000_000))
 
 
@@ -470,45 +471,241 @@ def _survivors(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~reduce(lambda a, b: a | b, [F.coalesce(v, F.lit(False)) for v in _violations().values()]))
 
 
+RANKED = ["requirement_id", "product_id", "class", "slug", "deployments", "staleness", *SUBS.values(), *PARTS.values(), "score"]
+
+
 def _best(scored_pairs: DataFrame) -> DataFrame:
+    """Best rows per requirement. Only scores and keys enter the sort; facts are joined back later."""
     by = W.partitionBy("requirement_id").orderBy("key")
-    return scored_pairs.withColumn("key", rank_key()).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP)
+    narrow = scored_pairs.select(*RANKED, rank_key().alias("key"))
+    return narrow.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TOP)
 
 
 # ---- ranking -------------------------------------------------------------------------------------
 
-def rank_matches(m: dict, list_length: int = LIST_LENGTH) -> DataFrame:
-    """The best four products of every requirement, with sub-scores and points.
+def prepare(m: dict) -> dict:
+    """Materialised inputs of a matching run: supply rows and buyers by the lists they read.
 
     `m`: requirements, products, availability, pricing, fits, deployments, evidence, region, applicable.
     """
-    buyers = demand(m["requirements"], m["applicable"])
-    asked = _scopes(buyers)
-    segments = asked.select(*SEGMENT, "segment").distinct()
-    stock = _with_reach(supply(m), m["region"], m["applicable"])
+    return {
+        "stock": materialize(_with_reach(supply(m), m["region"], m["applicable"]), "supply"),
+        "asked": materialize(_scopes(demand(m["requirements"], m["applicable"])), "asked"),
+    }
+
+
+def rank_prepared(run: dict, list_length: int = LIST_LENGTH) -> DataFrame:
+    """The best four products of every requirement, with sub-scores and points."""
+    stock, asked = run["stock"], run["asked"]
     features = stock.drop("reach", "caps")
+    segments = asked.select(*SEGMENT, "segment").distinct()
 
-    bounds = _bounds(stock, segments)
     place = F.row_number().over(W.partitionBy("segment").orderBy("bound"))
-    lists = bounds.withColumn("place", place).filter(F.col("place") <= list_length)
+    lists = materialize(
+        _bounds(stock, segments).withColumn("place", place).filter(F.col("place") <= list_length), "lists"
+    )
     tails = lists.filter(F.col("place") == list_length).select("segment", F.col("bound").alias("tail"))
-    lists = lists.drop("place", "bound").join(features, ["product_id", "class"]).drop("class")
+    entries = lists.drop("place", "bound").join(features, ["product_id", "class"]).drop("class")
 
     # A product that a country's own list holds is not read from the default list again.
     local = F.coalesce(F.array_contains("local_scopes", F.col("country_id").cast("string")), F.lit(False))
     fresh = ~((F.col("scope") == ELSEWHERE) & local)
-    first = _best(score_pairs(_survivors(asked.join(lists, "segment").filter(fresh))))
+    first = materialize(_best(score_pairs(_survivors(asked.join(entries, "segment").filter(fresh)))), "first")
 
     # A list is settled for a requirement when its fourth match is no worse than the list's tail.
     fourth = first.filter(F.col("rank") == TOP).select("requirement_id", F.col("key").alias("fourth"))
     unsettled = asked.join(tails, "segment").join(fourth, "requirement_id", "left").filter(
         F.col("fourth").isNull() | (F.col("fourth") > F.col("tail"))
     )
+    if unsettled.isEmpty():
+        return first.drop("key")
     rest = _bounds(stock, segments.join(unsettled.select("segment"), "segment", "left_semi"))
     left_out = (F.col("bound") > F.col("tail")) & (F.col("fourth").isNull() | (F.col("bound") < F.col("fourth")))
     more = unsettled.join(rest.drop("class"), "segment").filter(left_out).join(features, ["product_id", "class"])
     second = _best(score_pairs(_survivors(more.filter(fresh))))
+    return _best(first.unionByName(second)).drop("key")
+
+
+def rank_matches(m: dict, list_length: int = LIST_LENGTH) -> DataFrame:
+    return rank_prepared(prepare(m), list_length)
+
+
+def matched_facts(run: dict, ranked: DataFrame) -> DataFrame:
+    """Ranked rows with the requirement and product facts their texts and labels need."""
+    buyers = run["asked"].drop("scope", "segment").dropDuplicates(["requirement_id"])
+    facts = run["stock"].drop("reach", "caps", "local_scopes", "slug", "deployments", "staleness", *SUBS.values())
+    joined = ranked.join(buyers.drop("class"), "requirement_id").join(facts, ["product_id", "class"])
+    return score_budget(joined)
+
+
+# ---- explanations ----------------------------------------------------------------------------------
+
+def _lines(*conditional: tuple[Column, Column | str]) -> Column:
+    texts = [F.when(cond, F.lit(t) if isinstance(t, str) else t) for cond, t in conditional]
+    return F.array_compact(F.array(*texts))
+
+
+def criterion_texts() -> dict[str, tuple[Column, Column]]:
+    """(reasons, warnings) of each criterion, in the columns of `matched_facts`."""
+    c = F.col
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    none = F.array().cast("array<string>")
+    stated = c("use_case").isNotNull()
+    fit = F.try_element_at(c("fits"), c("use_case"))
+    shown_fit = F.format_string("%.2f", c(SUBS["use_case_fit"]))
+    late = c("open") & (c(SUBS["commercial_availability"]) == 0.5)
+    part = _technical_parts()
+    unknown = lambda name, fact: part[name].isNotNull() & c(fact).isNull()
+    minutes = c("operating_hours_day") * F.lit(60.0)
+    runs = c("operating_hours_day").isNotNull() & c("runtime_minutes").isNotNull()
+    short = (minutes > 0) & (c("runtime_minutes") < minutes)
+    geo, here = c(SUBS["geographic_fit"]), c("country")
+    with_max = c("budget_max").isNotNull()
+    unpriced = with_max & c("best_price").isNull()
+    return {
+        "use_case_fit": (
+            _lines((stated & fit.isNotNull() & (c(SUBS["use_case_fit"]) >= 0.6), say("use-case fit ", shown_fit, " for ", c("use_case")))),
+            _lines((stated & fit.isNull(), say("use-case fit for ", c("use_case"), " is unverified"))),
+        ),
+        "commercial_availability": (
+            _lines(
+                (c("open"), "commercially accessible for the requested transaction"),
+                (~c("open"), "no accessible commercial offer for the requested transaction"),
+                (c("open").isNull(), "commercial availability unconfirmed; neutral score applied"),
+            ),
+            _lines(
+                (c("open") & ~c("plain"), "commercial availability is constrained (waitlist/preorder/on-request)"),
+                (late, "earliest known availability is after the required-by date"),
+                (~c("open"), "no accessible commercial offer for the requested transaction"),
+                (c("open").isNull(), "no confirmed commercial availability"),
+            ),
+        ),
+        "technical_fit": (
+            _lines(
+                ((c("payload_min_kg") != 0) & c("payload_kg").isNotNull() & (part["payload"] >= 0.8),
+                 say("payload ", plain_number(c("payload_kg")), " kg meets the ", plain_number(c("payload_min_kg")), " kg requirement")),
+                (c("autonomy_required").isNotNull() & c("autonomy").isNotNull(), say("autonomy ", c("autonomy"), " meets ", c("autonomy_required"))),
+                (c("manipulation_required") & c("has_manipulation").isNotNull(), "supports required manipulation"),
+                (runs & ~short, say("runtime covers the requested ", plain_number(c("operating_hours_day")), " h/day duty cycle")),
+            ),
+            _lines(
+                ((c("payload_min_kg") != 0) & unknown("payload", "payload_kg"), "payload unverified"),
+                (unknown("autonomy", "autonomy"), "autonomy level unverified"),
+                (unknown("manipulation", "has_manipulation"), "manipulation capability unverified"),
+                (unknown("runtime", "runtime_minutes"), "runtime unverified"),
+                (runs & short, "runtime may require a charging strategy"),
+            ),
+        ),
+        "geographic_fit": (
+            _lines((geo == 1.0, say("available in ", here))),
+            _lines((geo == 0.0, say("offers for ", here, " are not accessible")), (geo == 0.5, say("no regional availability evidence for ", here))),
+        ),
+        "budget_fit": (
+            _lines((with_max & (c(SUBS["budget_fit"]) >= 0.99), "within the stated budget")),
+            F.concat(
+                F.coalesce(c("best_price.warnings"), none),
+                _lines((unpriced & c("prices").isNotNull(), W_TERMS), (unpriced & c("prices").isNull(), W_NONE)),
+            ),
+        ),
+        "deployment_readiness": (
+            _lines(
+                (F.lit(True), say("commercial maturity: ", c("commercial_status"))),
+                (c("deployments") >= 1, say(c("deployments").cast("string"), " confirmed deployment(s)")),
+            ),
+            none,
+        ),
+    }
+
+
+def explain(facts: DataFrame) -> DataFrame:
+    """Adds `reasons` (best contribution first, distinct, four at most) and `warnings` (criterion order)."""
+    texts = criterion_texts()
+
+    def tag(name: str, reasons: Column) -> Column:
+        return F.transform(reasons, lambda t: F.struct((-F.col(PARTS[name])).alias("o"), t.alias("t")))
+
+    tagged = [tag(name, reasons) for name, (reasons, _) in texts.items()]
+    ordered = F.array_sort(F.flatten(F.array(*tagged)))
+    reasons = F.slice(F.array_distinct(F.transform(ordered, lambda r: r["t"])), 1, 4)
+    warnings = F.flatten(F.array(*[w for _, w in texts.values()]))
+    return facts.withColumn("reasons", reasons).withColumn("warnings", warnings)
 
-    columns = [c for c in first.columns if c not in ("key", "rank", "segment", "scope")]
-    return _best(first.select(*columns).unionByName(second.select(*columns))).drop("key", "local_scopes")
 
+# ---- labels ------------------------------------------------------------------------------------------
+
+def _lower_cost() -> tuple[Column, Column]:
+    """(lowest eligible price, its currencies): current one-off public or estimated prices that fit."""
+    wanted = F.upper(F.nullif(F.col("budget_currency"), F.lit("")))
+    here = lambda p: F.col("country_id").isNull() | p["region_id"].isNull() | F.coalesce(F.array_contains("applicable_ids", p["region_id"]), F.lit(False))
+    eligible = F.filter(F.col("prices"), lambda p: p["kind"].isin("PUBLIC", "ESTIMATED")
+                        & ((F.col("class") == ANY) | (p["transaction_type"] == F.col("class"))) & here(p)
+                        & (wanted.isNull() | (p["currency"] == wanted)))
+    return F.array_min(F.transform(eligible, lambda p: p["low"])), F.array_distinct(F.transform(eligible, lambda p: p["currency"]))
+
+
+def label_matches(facts: DataFrame) -> DataFrame:
+    """Adds `category`. Labels are claimed in order among ranks 2-4, each product at most once.
+
+    The four rows of a requirement are few by construction, so windows over them stay small.
+    """
+    lowest, currencies = _lower_cost()
+    group = W.partitionBy("requirement_id")
+    pool = F.col("rank") > 1
+    df = facts.withColumn("lowest_cost", lowest).withColumn("cost_currencies", currencies)
+
+    def claim(df, name, eligible, *order):
+        place = F.row_number().over(group.orderBy(F.when(eligible, 0).otherwise(1), *order))
+        return df.withColumn(name, F.coalesce(eligible & (place == 1), F.lit(False)))
+
+    known = lambda cond: F.coalesce(cond, F.lit(False))
+    df = claim(df, "_commercial", pool & known(F.col("open")), F.desc(SUBS["commercial_availability"]), "slug")
+    seen = F.array_distinct(F.flatten(F.collect_list(F.when(pool & F.col("lowest_cost").isNotNull(), F.col("cost_currencies"))).over(group)))
+    mixed = F.nullif(F.col("budget_currency"), F.lit("")).isNull() & (F.size(seen) > 1)
+    df = df.withColumn("_mixed", mixed)
+    df = claim(df, "_cheap", pool & F.col("lowest_cost").isNotNull() & ~F.col("_mixed") & ~F.col("_commercial"), F.asc("lowest_cost"), "slug")
+    maker = known(F.col("has_sdk")) | known(F.col("ros_support")) | known(F.col("developer_edition"))
+    df = claim(df, "_developer", pool & maker & ~F.col("_commercial") & ~F.col("_cheap"), "rank")
+    category = (
+        F.when(F.col("rank") == 1, "BEST_OVERALL").when(F.col("_commercial"), "BEST_COMMERCIAL").when(F.col("_cheap"), "BEST_LOWER_COST")
+        .when(F.col("_developer"), "BEST_DEVELOPER").otherwise("ALTERNATIVE")
+    )
+    return df.withColumn("category", category).drop("_commercial", "_mixed", "_cheap", "_developer")
+
+
+# ---- outcomes ------------------------------------------------------------------------------------------
+
+def no_match(requirements: DataFrame, products: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Per requirement: matches, excluded count, and why nothing matched (NULL when something did).
+
+    The dominant reason is the most frequent violation, ties in alphabetical order.
+    """
+    counts = exclusion_counts(requirements, products)
+    matched = ranked.groupBy("requirement_id").agg(F.count(F.lit(1)).alias("matches"))
+    reasons = F.array(*[F.struct((-F.col(f"n_{r}")).alias("n"), F.lit(r).alias("code")) for r in REASON_CODES])
+    top = F.array_min(F.filter(reasons, lambda r: r["n"] < 0))
+    text = F.when(
+        F.col("top").isNotNull(),
+        F.concat(
+            F.lit("No platform matched. The dominant eliminating constraint was "), F.col("top.code"), F.lit(": "),
+            vocab.lookup(F.col("top.code"), EXCLUSION_DETAIL, None), F.lit(" — "), (-F.col("top.n")).cast("string"),
+            F.lit(" of "), F.col("candidates").cast("string"), F.lit(" candidates."),
+        ),
+    ).otherwise("No published platforms are available to match yet.")
+    return (
+        counts.join(matched, "requirement_id", "left").withColumn("top", top)
+        .withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+        .select(
+            "requirement_id", "matches", (F.col("candidates") - F.col("matches")).alias("excluded_count"),
+            F.when(F.col("matches") == 0, text).alias("explanation"),
+        )
+    )
+
+
+def match_incremental(stored: DataFrame, m: dict) -> DataFrame:
+    """Stored matches win; only requirements without any stored row are ranked, then appended."""
+    done = stored.select(F.col("requirement_id").alias("id")).distinct()
+    fresh = {**m, "requirements": m["requirements"].join(done, "id", "left_anti")}
+    columns = ["requirement_id", "slug", "rank", "score"]
+    return stored.select(*columns, F.lit(True).alias("stored")).unionByName(
+        rank_matches(fresh).select(*columns, F.lit(False).alias("stored"))
+    )

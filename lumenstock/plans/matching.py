@@ -98,7 +98,7 @@ WHERE NOT (x_payload OR x_manipulation OR x_autonomy OR x_discontinued)""")
 
 
 def _points(sub: str, weight: int) -> str:
-    n = f"(CAST(round({sub} * CAST(1e9 AS DOUBLE)) AS BIGINT) * {weight * 10000})"
+    n = f"(CAST(floor({sub} * CAST(1e9 AS DOUBLE) + 0.5) AS BIGINT) * {weight * 10000})"
     d = "(active * 1000000000)"
     return f"coalesce({n} // {d} + CASE WHEN ({n} % {d}) * 2 > {d} OR (({n} % {d}) * 2 = {d} AND ({n} // {d}) % 2 = 1) THEN 1 ELSE 0 END, 0)"
 
@@ -185,11 +185,101 @@ def _(c):
 
 
 @query("match_breakdown", f"""
-SELECT {_AS}, score, CAST(p_use AS DECIMAL(18,0)) / 100 AS use_case_fit, 0 AS x FROM m_match""")
+SELECT {_AS}, score, p_use AS use_case_fit, p_com AS commercial_availability, p_tec AS technical_fit, p_geo AS geographic_fit,
+  p_bud AS budget_fit, p_dep AS deployment_readiness FROM m_match""")
 def _(c):
-    return ranked(c)
+    return ranked(c).select("requirement_id", "slug", "score", *[F.col(col).alias(name) for name, col in mt.PARTS.items()])
+
+
+def _g(expr: str) -> str:
+    return f"regexp_replace(regexp_replace(CAST(CAST({expr} AS DECIMAL(20,6)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+
+
+_REASONS = f"""[
+  {{'o': -p_use, 't': CASE WHEN fit_score IS NOT NULL AND s_use >= 0.6 THEN 'use-case fit ' || printf('%.2f', s_use) || ' for ' || use_case END}},
+  {{'o': -p_com, 't': CASE WHEN open THEN 'commercially accessible for the requested transaction' WHEN NOT open THEN 'no accessible commercial offer for the requested transaction'
+      ELSE 'commercial availability unconfirmed; neutral score applied' END}},
+  {{'o': -p_tec, 't': CASE WHEN payload_min_kg <> 0 AND payload_kg / (payload_min_kg * CAST(1.25 AS DOUBLE)) >= 0.8
+      THEN 'payload ' || {_g('payload_kg')} || ' kg meets the ' || {_g('payload_min_kg')} || ' kg requirement' END}},
+  {{'o': -p_tec, 't': CASE WHEN autonomy_required IS NOT NULL AND autonomy IS NOT NULL THEN 'autonomy ' || autonomy || ' meets ' || autonomy_required END}},
+  {{'o': -p_tec, 't': CASE WHEN manipulation_required AND has_manipulation IS NOT NULL THEN 'supports required manipulation' END}},
+  {{'o': -p_tec, 't': CASE WHEN runtime_minutes >= operating_hours_day * 60 THEN 'runtime covers the requested ' || operating_hours_day || ' h/day duty cycle' END}},
+  {{'o': -p_geo, 't': CASE WHEN s_geo = 1 THEN 'available in ' || country END}},
+  {{'o': -p_bud, 't': CASE WHEN budget_max IS NOT NULL AND s_bud >= 0.99 THEN 'within the stated budget' END}},
+  {{'o': -p_dep, 't': 'commercial maturity: ' || commercial_status}},
+  {{'o': -p_dep, 't': CASE WHEN deployments >= 1 THEN deployments || ' confirmed deployment(s)' END}}]"""
+_WARNINGS = """list_concat([
+  CASE WHEN use_case IS NOT NULL AND fit_score IS NULL THEN 'use-case fit for ' || use_case || ' is unverified' END,
+  CASE WHEN open AND NOT plain THEN 'commercial availability is constrained (waitlist/preorder/on-request)' END,
+  CASE WHEN open AND s_com = 0.5 THEN 'earliest known availability is after the required-by date' END,
+  CASE WHEN NOT open THEN 'no accessible commercial offer for the requested transaction' END,
+  CASE WHEN open IS NULL THEN 'no confirmed commercial availability' END,
+  CASE WHEN payload_min_kg <> 0 AND payload_kg IS NULL THEN 'payload unverified' END,
+  CASE WHEN autonomy_required IS NOT NULL AND autonomy IS NULL THEN 'autonomy level unverified' END,
+  CASE WHEN manipulation_required AND has_manipulation IS NULL THEN 'manipulation capability unverified' END,
+  CASE WHEN operating_hours_day IS NOT NULL AND runtime_minutes IS NULL THEN 'runtime unverified' END,
+  CASE WHEN runtime_minutes < operating_hours_day * 60 THEN 'runtime may require a charging strategy' END,
+  CASE WHEN s_geo = 0 THEN 'offers for ' || country || ' are not accessible' END,
+  CASE WHEN s_geo = 0.5 THEN 'no regional availability evidence for ' || country END],
+  coalesce(budget_warnings, []),
+  [CASE WHEN budget_max IS NOT NULL AND NOT has_comparable THEN CASE WHEN has_price THEN 'no price in the requested currency/terms' ELSE 'no confirmed pricing' END END])"""
+
+
+@query("match_reasons", f"""
+SELECT {_AS}, (SELECT string_agg(t, ' / ' ORDER BY o, t) FROM (SELECT o, t FROM (SELECT unnest({_REASONS}, recursive := true)) u WHERE t IS NOT NULL ORDER BY o, t LIMIT 4) l) AS reasons,
+  array_to_string(list_filter({_WARNINGS}, lambda w: w IS NOT NULL), ' / ') AS warnings FROM m_match""")
+def _(c):
+    run = mt.prepare(match_model(c))
+    texts = mt.explain(mt.matched_facts(run, mt.rank_prepared(run)))
+    joined = lambda name: F.array_join(name, " / ").alias(name)
+    return texts.select("requirement_id", "slug", joined("reasons"), joined("warnings"))
 
 
 @query("match_top4", f"SELECT {_AS}, rank, score FROM m_match")
 def _(c):
     return ranked(c).select("requirement_id", "slug", "rank", "score")
+
+
+@query("match_categories", """
+WITH refs AS (
+  SELECT x.requirement_id, x.product_id, min(CAST(o.price AS DOUBLE)) AS low, list(DISTINCT upper(o.currency)) AS curs
+  FROM m_match x LEFT JOIN m_country_set s ON s.country_id = x.country_id
+  JOIN m_pricing o ON o.product_id = x.product_id AND o.is_current AND o.price IS NOT NULL AND o.billing_period = 'ONE_TIME' AND o.price_type IN ('PUBLIC', 'ESTIMATED')
+    AND (x.class = 'ANY' OR x.class = o.transaction_type) AND (x.country_id IS NULL OR o.region_id IS NULL OR list_contains(s.ids, o.region_id))
+    AND (x.budget_currency IS NULL OR upper(o.currency) = upper(x.budget_currency)) GROUP BY 1, 2),
+a AS (SELECT x.requirement_id, x.slug, x.rank, x.s_com, x.open, x.budget_currency, r.low, r.curs,
+    coalesce(x.has_sdk, false) OR coalesce(x.ros_support, false) OR coalesce(x.developer_edition, false) AS dev
+  FROM m_match x LEFT JOIN refs r USING (requirement_id, product_id)),
+b AS (SELECT *, rank > 1 AND coalesce(open, false) AND row_number() OVER (PARTITION BY requirement_id, rank > 1 AND coalesce(open, false) ORDER BY s_com DESC, slug) = 1 AS com,
+    (SELECT count(DISTINCT u.c) FROM (SELECT unnest(z.curs) AS c FROM a z WHERE z.requirement_id = a.requirement_id AND z.rank > 1) u) AS ncur FROM a),
+d AS (SELECT *, rank > 1 AND low IS NOT NULL AND NOT com AND (budget_currency IS NOT NULL OR ncur <= 1) AS can_cheap FROM b),
+e AS (SELECT *, can_cheap AND row_number() OVER (PARTITION BY requirement_id, can_cheap ORDER BY low, slug) = 1 AS cheap FROM d),
+f AS (SELECT *, rank > 1 AND dev AND NOT com AND NOT cheap AS can_dev FROM e),
+g AS (SELECT *, can_dev AND row_number() OVER (PARTITION BY requirement_id, can_dev ORDER BY rank) = 1 AS is_dev FROM f)
+SELECT requirement_id, slug, rank, CASE WHEN rank = 1 THEN 'BEST_OVERALL' WHEN com THEN 'BEST_COMMERCIAL' WHEN cheap THEN 'BEST_LOWER_COST'
+  WHEN is_dev THEN 'BEST_DEVELOPER' ELSE 'ALTERNATIVE' END AS category FROM g""")
+def _(c):
+    run = mt.prepare(match_model(c))
+    labelled = mt.label_matches(mt.matched_facts(run, mt.rank_prepared(run)))
+    return labelled.select("requirement_id", "slug", "rank", "category")
+
+
+@query("no_match_explanation", """
+SELECT r.id AS requirement_id, coalesce(n, 0) AS matches, (SELECT count(*) FROM m_product WHERE is_published) - coalesce(n, 0) AS excluded_count,
+  CAST(NULL AS VARCHAR) AS explanation
+FROM m_requirement r LEFT JOIN (SELECT requirement_id, count(*) AS n FROM m_match GROUP BY 1) x ON x.requirement_id = r.id""")
+def _(c):
+    return mt.no_match(c.requirement, c.product, ranked(c))
+
+
+@query("match_incremental", """
+SELECT requirement_id, 'stored-' || requirement_id AS slug, CAST(1 AS INTEGER) AS rank, 77 AS score, true AS stored
+FROM (SELECT DISTINCT id AS requirement_id FROM m_requirement WHERE id % 2 = 0) s
+UNION ALL SELECT requirement_id, slug, rank, score, false FROM m_match WHERE requirement_id % 2 <> 0""")
+def _(c):
+    m = match_model(c)
+    stored = c.requirement.filter(F.col("id") % 2 == 0).select(
+        F.col("id").alias("requirement_id"), F.concat(F.lit("stored-"), F.col("id").cast("string")).alias("slug"),
+        F.lit(1).alias("rank"), F.lit(77).cast("long").alias("score"),
+    )
+    return mt.match_incremental(stored, m)
