@@ -36,11 +36,17 @@ SELECT p_partkey AS id, 'p-' || p_partkey AS slug, p_name AS name, p_brand AS ma
     CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS has_manipulation,
     CASE p_partkey % 8 WHEN 0 THEN true WHEN 1 THEN false END AS ros_support,
     CASE p_partkey % 9 WHEN 0 THEN true WHEN 1 THEN false END AS developer_edition,
+    (['gripper','five-finger',NULL])[p_partkey % 3 + 1] AS hand_type,
+    CASE WHEN p_partkey % 3 <> 2 THEN CAST(p_partkey % 12 AS INTEGER) END AS hand_dof,
+    CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS has_vision,
+    CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false END AS has_language_ui,
     p_partkey % 10 <> 0 AS is_published,
     CASE WHEN p_partkey % 6 <> 0 THEN lower(p_type) || ' unit for the ' || lower(p_brand) END AS summary,
     CASE WHEN p_partkey % 4 <> 0 THEN CAST(2015 + p_partkey % 10 AS INTEGER) END AS announced_year,
     DATE '2020-01-01' + CAST(p_partkey % 1500 AS INTEGER) AS created_on
 FROM part""",
+    "m_compare_set": """
+SELECT id // 4 AS set_id, slug, CAST(id % 4 + 1 AS INTEGER) AS position FROM m_product WHERE is_published""",
     "m_availability": f"""
 SELECT l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_partkey AS product_id,
     CAST(NULL AS VARCHAR) AS variant_id, l_suppkey AS provider_id, {_SUPPLIER_REGION} AS region_id,

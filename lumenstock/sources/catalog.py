@@ -106,6 +106,10 @@ class Catalog:
             _cycle(key, True, False, True, None).alias("has_manipulation"),
             _cycle(key, True, False, None, None, None, None, None, None).alias("ros_support"),
             _cycle(key, True, False, None, None, None, None, None, None, None).alias("developer_edition"),
+            _cycle(key, "gripper", "five-finger", None).alias("hand_type"),
+            _null_if(key % 3 == 2, (key % 12).cast("int")).alias("hand_dof"),
+            _cycle(key, True, False, None, None, None).alias("has_vision"),
+            _cycle(key, True, False, None, None, None, None).alias("has_language_ui"),
             (key % 10 != 0).alias("is_published"),
             _null_if(key % 6 == 0, F.concat(F.lower(kind), F.lit(" unit for the "), F.lower("p_brand"))).alias("summary"),
             _null_if(key % 4 == 0, (2015 + key % 10).cast("int")).alias("announced_year"),
@@ -242,6 +246,13 @@ class Catalog:
             )
         )
 
+    @cached_property
+    def compare_set(self) -> DataFrame:
+        """Products picked for side-by-side comparison, at most four per set."""
+        return self.product.filter("is_published").select(
+            F.floor(F.col("id") / 4).alias("set_id"), "slug", (F.col("id") % 4 + 1).cast("int").alias("position")
+        )
+
     # ---- demand ------------------------------------------------------------------------
 
     @cached_property
