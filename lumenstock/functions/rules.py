@@ -42,11 +42,6 @@ def radar_eligible() -> Column:
     )
 
 
-def unless_known_false(pred: Column) -> Column:
-    """Matching logic: an unknown fact never excludes."""
-    return F.coalesce(pred, F.lit(True))
-
-
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

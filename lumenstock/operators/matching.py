@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.ranking import first_per_key
-from ..functions.rules import accessible, budget_ramp, clamp01, payload_headroom, unless_known_false
+from ..functions.rules import accessible, budget_ramp, clamp01, payload_headroom
 from ..functions.stage import materialize
 from ..functions.text import plain_number
 from .evidence import freshest_evidence
@@ -53,17 +53,22 @@ def _classes(transaction: Column) -> Column:
 
 def exclusions(pairs: DataFrame) -> DataFrame:
     """Adds `exclusions`: every rule a (requirement, product) pair violates. Unknown never excludes."""
-    return pairs.withColumn("exclusions", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in _violations().items()])))
+    levels = pairs.withColumn("autonomy_level", _level("autonomy")).withColumn("required_level", _level("autonomy_required"))
+    rules = {**_violations(), "discontinued": F.col("commercial_status") == "DISCONTINUED"}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+    return levels.withColumn("exclusions", found).drop("autonomy_level", "required_level")
+
+
+def _level(name: str) -> Column:
+    return vocab.ordinal(F.col(name), vocab.AUTONOMY)
 
 
 def _violations() -> dict[str, Column]:
-    low = ~unless_known_false(F.col("payload_kg") >= F.col("payload_min_kg"))
-    hands = F.coalesce(F.col("manipulation_required"), F.lit(False)) & ~unless_known_false(F.col("has_manipulation"))
-    level = lambda c: vocab.ordinal(F.col(c), vocab.AUTONOMY)
+    """Rules between a requirement and a product; being discontinued is the product's own."""
     return {
-        "payload": low, "manipulation": hands,
-        "autonomy": ~unless_known_false(level("autonomy") >= level("autonomy_required")),
-        "discontinued": F.col("commercial_status") == "DISCONTINUED",
+        "payload": F.coalesce(F.col("payload_kg") < F.col("payload_min_kg"), F.lit(False)),
+        "manipulation": F.coalesce(F.col("manipulation_required") & ~F.col("has_manipulation"), F.lit(False)),
+        "autonomy": F.coalesce(F.col("autonomy_level") < F.col("required_level"), F.lit(False)),
     }
 
 
@@ -205,7 +210,7 @@ def supply(m: dict) -> DataFrame:
     base = (
         products.select(
             F.col("id").alias("product_id"), "slug", "commercial_status", F.col("payload_kg").cast("double").alias("payload_kg"),
-            "has_manipulation", "autonomy", "runtime_minutes", "has_sdk", "ros_support", "developer_edition",
+            "has_manipulation", "autonomy", _level("autonomy").alias("autonomy_level"), "runtime_minutes", "has_sdk", "ros_support", "developer_edition",
         )
         .join(fielded, "product_id", "left").join(fresh, "product_id", "left").join(fits, "product_id", "left")
         .join(price_points(m["pricing"]), "product_id", "left")
@@ -276,7 +281,7 @@ def demand(requirements: DataFrame, applicable: DataFrame) -> DataFrame:
         "requirement_id", "country_id", "country", "applicable_ids", "use_case",
         F.col("payload_min_kg").cast("double").alias("payload_min_kg"),
         F.col("operating_hours_day").cast("double").alias("operating_hours_day"),
-        "manipulation_required", "autonomy_required", "budget_currency", "budget_min", "budget_max", "required_by", "preferred_transaction",
+        "manipulation_required", "autonomy_required", _level("autonomy_required").alias("required_level"), "budget_currency", "budget_min", "budget_max", "required_by", "preferred_transaction",
         preference_class(F.col("preferred_transaction")).alias("class"),
         (has("payload_min_kg") | has("operating_hours_day") | has("autonomy_required") | F.coalesce("manipulation_required", F.lit(False))).alias("technical"),
         F.coalesce(budget, F.lit("none")).alias("budget"),
@@ -385,7 +390,7 @@ def _technical_parts() -> dict[str, Column]:
     )
     return {
         "payload": F.when(F.col("payload_min_kg").isNotNull(), F.when(F.col("payload_kg").isNull() & (F.col("payload_min_kg") != 0), 0.5).otherwise(payload)),
-        "autonomy": ask(F.col("autonomy_required").isNotNull(), "autonomy", F.lit(1.0)),
+        "autonomy": ask(F.col("required_level").isNotNull(), "autonomy_level", F.lit(1.0)),
         "manipulation": ask(F.col("manipulation_required"), "has_manipulation", F.lit(1.0)),
         "runtime": ask(F.col("operating_hours_day").isNotNull(), "runtime_minutes", F.lit(0.5) + F.lit(0.5) * clamp01(cover)),
     }
@@ -467,8 +472,24 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return scored(df)
 
 
-def _survivors(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(~reduce(lambda a, b: a | b, [F.coalesce(v, F.lit(False)) for v in _violations().values()]))
+FLAT_BUYER = ["scope", "country_id", "payload_min_kg", "manipulation_required", "required_level"]
+FLAT_STOCK = ["local_scopes", "payload_kg", "has_manipulation", "autonomy_level"]
+
+
+def _survivors(asked: DataFrame, entries: DataFrame, on: list[str]) -> DataFrame:
+    """Buyers joined to listed products, without excluded pairs.
+
+    Listed products are never discontinued. A product that a country's own list holds is not read
+    from the default list again. Columns the rules do not look at travel packed, which keeps the
+    generated join code small.
+    """
+    def pack(df, flat, name):
+        return df.select(*on, *flat, F.struct(*[c for c in df.columns if c not in (*on, *flat)]).alias(name))
+
+    local = F.coalesce(F.array_contains("local_scopes", F.col("country_id").cast("string")), F.lit(False))
+    keep = ~((F.col("scope") == ELSEWHERE) & local) & ~reduce(lambda a, b: a | b, _violations().values())
+    pairs = pack(asked, FLAT_BUYER, "_r").join(pack(entries, FLAT_STOCK, "_s"), on).filter(keep)
+    return pairs.select("*", "_r.*", "_s.*").drop("_r", "_s")
 
 
 RANKED = ["requirement_id", "product_id", "class", "slug", "deployments", "staleness", *SUBS.values(), *PARTS.values(), "score"]
@@ -497,7 +518,7 @@ def prepare(m: dict) -> dict:
 def rank_prepared(run: dict, list_length: int = LIST_LENGTH) -> DataFrame:
     """The best four products of every requirement, with sub-scores and points."""
     stock, asked = run["stock"], run["asked"]
-    features = stock.drop("reach", "caps")
+    features = stock.drop("reach", "caps", "commercial_status", "autonomy", "plain", "has_sdk", "ros_support", "developer_edition")
     segments = asked.select(*SEGMENT, "segment").distinct()
 
     place = F.row_number().over(W.partitionBy("segment").orderBy("bound"))
@@ -506,11 +527,7 @@ def rank_prepared(run: dict, list_length: int = LIST_LENGTH) -> DataFrame:
     )
     tails = lists.filter(F.col("place") == list_length).select("segment", F.col("bound").alias("tail"))
     entries = lists.drop("place", "bound").join(features, ["product_id", "class"]).drop("class")
-
-    # A product that a country's own list holds is not read from the default list again.
-    local = F.coalesce(F.array_contains("local_scopes", F.col("country_id").cast("string")), F.lit(False))
-    fresh = ~((F.col("scope") == ELSEWHERE) & local)
-    first = materialize(_best(score_pairs(_survivors(asked.join(entries, "segment").filter(fresh)))), "first")
+    first = materialize(_best(score_pairs(_survivors(asked, entries, ["segment"]))), "first")
 
     # A list is settled for a requirement when its fourth match is no worse than the list's tail.
     fourth = first.filter(F.col("rank") == TOP).select("requirement_id", F.col("key").alias("fourth"))
@@ -521,8 +538,8 @@ def rank_prepared(run: dict, list_length: int = LIST_LENGTH) -> DataFrame:
         return first.drop("key")
     rest = _bounds(stock, segments.join(unsettled.select("segment"), "segment", "left_semi"))
     left_out = (F.col("bound") > F.col("tail")) & (F.col("fourth").isNull() | (F.col("bound") < F.col("fourth")))
-    more = unsettled.join(rest.drop("class"), "segment").filter(left_out).join(features, ["product_id", "class"])
-    second = _best(score_pairs(_survivors(more.filter(fresh))))
+    more = unsettled.drop("class").join(rest, "segment").filter(left_out).drop("bound", "tail", "fourth", "segment")
+    second = _best(score_pairs(_survivors(more, features, ["product_id", "class"])))
     return _best(first.unionByName(second)).drop("key")
 
 
