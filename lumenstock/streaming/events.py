@@ -14,9 +14,16 @@ POLICIES = {
 }
 
 
+def _timed(events: DataFrame, watermark: str) -> DataFrame:
+    """Batch rows as they are; a stream gets its watermark, which needs an instant, not a local time."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
 def rate_tier(events: DataFrame, key: str, tier: str, seconds: int, limit: int, watermark: str = "1 hour") -> DataFrame:
     """Clients over the limit of one tier in an epoch-aligned window. Late rows past the watermark drop."""
-    rows = events.withWatermark("ts", watermark) if events.isStreaming else events
+    rows = _timed(events, watermark)
     counted = rows.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), F.col(key).alias("client")).agg(F.count(F.lit(1)).alias("hits"))
     return counted.filter(F.col("hits") > limit).select(F.lit(tier).alias("tier"), F.col("w.start").alias("window_start"), "client", "hits")
 
@@ -28,7 +35,7 @@ def rate_windows(events: DataFrame, key: str, tiers: dict[str, tuple[int, int]],
 
 def event_rollup(events: DataFrame, width: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Event counts by type per tumbling window."""
-    rows = events.withWatermark("ts", watermark) if events.isStreaming else events
+    rows = _timed(events, watermark)
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events")).select(
         F.col("w.start").alias("window_start"), "event_type", "events"
     )
