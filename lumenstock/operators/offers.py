@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.ranking import first_per_key
 from ..functions.rules import accessible, comparable_amount
+from .regions import global_id
 
 VERTICALS = {
     "rental": ["RENTAL", "SUBSCRIPTION"],
@@ -41,12 +42,8 @@ def commercial_offer(availability: DataFrame, pricing: DataFrame, region: DataFr
         ["pricing_offer_id", *PRICE_COLUMNS, "price_provider_id", "price_region_id", "updated_at"],
     )
 
-    top = region.filter(F.col("code") == "GLOBAL").select(F.col("id").alias("_global"), F.lit(1).alias("_one"))
     parents = region.select(F.col("id").alias("region_id"), F.col("parent_id").alias("_parent"))
-    placed = (
-        availability.join(parents, "region_id", "left")
-        .withColumn("_one", F.lit(1)).join(top, "_one", "left")
-    )
+    placed = availability.join(parents, "region_id", "left").withColumn("_global", global_id(region))
     regions = F.array(
         F.struct(F.lit(0).alias("rank"), F.col("region_id").alias("id")),
         F.struct(F.lit(1).alias("rank"), F.col("_parent").alias("id")),

@@ -39,6 +39,11 @@ def region_closure(region: DataFrame, max_depth: int = len(REGION_TYPES)) -> Dat
     return out.drop("_path")
 
 
+def global_id(region: DataFrame) -> Column:
+    """Id of the global region as a scalar, NULL when the table has none."""
+    return region.filter(F.col("code") == "GLOBAL").agg(F.max("id")).scalar()
+
+
 def applicable_regions(closure: DataFrame, region: DataFrame, require_type: str | None = None) -> DataFrame:
     """(region_id, code, applicable_id): the region, its ancestors and the global region.
 
@@ -47,8 +52,7 @@ def applicable_regions(closure: DataFrame, region: DataFrame, require_type: str
     places = region if require_type is None else region.filter(F.col("type") == require_type)
     places = places.select(F.col("id").alias("region_id"), "code")
     own = places.join(closure.select("region_id", F.col("ancestor_id").alias("applicable_id")), "region_id")
-    top = region.filter(F.col("code") == "GLOBAL").select(F.col("id").alias("applicable_id"), F.col("code").alias("_top"))
-    everywhere = places.withColumn("_top", F.lit("GLOBAL")).join(top, "_top").drop("_top")
+    everywhere = places.withColumn("applicable_id", global_id(region)).filter("applicable_id IS NOT NULL")
     return own.unionByName(everywhere).distinct()
 
 

@@ -116,11 +116,10 @@ def by_availability(products, availability, txns=None, statuses=None, regions: D
     if statuses:
         rows = rows.filter(F.col("availability_status").isin(statuses))
     if regions is not None:
-        # One row per requested region (none for an unknown code), at most a tree path of ids.
-        served = regions.groupBy("region_id").agg(F.collect_set("applicable_id").alias("_ids")).select(F.lit(1).alias("_one"), "_ids")
-        rows = rows.withColumn("_one", F.lit(1)).join(served, "_one").filter(
-            F.col("region_id").isNull() | F.array_contains("_ids", F.col("region_id"))
-        )
+        # At most a tree path of ids; NULL when the code resolved to nothing.
+        ids = F.collect_set("applicable_id")
+        served = regions.agg(F.when(F.size(ids) > 0, ids).alias("ids")).scalar()
+        rows = rows.filter(served.isNotNull() & (F.col("region_id").isNull() | F.array_contains(served, F.col("region_id"))))
     return products.join(rows.select(F.col("product_id").alias("id")), "id", "left_semi")
 
 
