@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stage import materialize
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """One row per key: the least under `order` (all ascending, NULL-free or struct-safe).
@@ -23,46 +25,21 @@ def descending(col: Column) -> Column:
     return F.coalesce(-col, F.lit(float("inf")))
 
 
-SPLITS = 1024
-
-
-def _split_points(df: DataFrame, key: Column, sample_on: list[Column]) -> DataFrame:
-    """One row holding up to SPLITS - 1 sort keys that cut the data into even ranges.
-
-    The sample is the rows of least hash: random with respect to the order, the same on every
-    run and after any task retry, and of fixed size whatever the input.
-    """
-    sample = df.select(key.alias("_key"), F.xxhash64(*sample_on).alias("_h")).orderBy("_h").limit(SPLITS - 1)
-    return sample.agg(F.array_sort(F.collect_list("_key")).alias("_bounds"))
-
-
-def _range_of(df: DataFrame, key: Column) -> DataFrame:
-    """Number of split points not above the row's key, by binary search over the array."""
-    steps = F.array(*[F.lit(SPLITS >> i) for i in range(1, SPLITS.bit_length())])
-
-    def advance(at: Column, step: Column) -> Column:
-        probe = at + step
-        inside = (probe <= F.size("_bounds")) & (F.get(F.col("_bounds"), probe - 1) <= F.col("_key"))
-        return F.when(inside, probe).otherwise(at)
-
-    return df.withColumn("_key", key).withColumn("_range", F.aggregate(steps, F.lit(0), advance)).drop("_key", "_bounds")
-
-
 def spread_rank(df: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Exact 1-based position of each row under `order` (ascending, NULL-free), within `keys`.
+    """Exact 1-based position of each row under `order` (ascending, NULL-free, ending in a unique column), within `keys`.
 
-    Rows are cut into even ranges of the whole sort key, ranked inside their range only, and
-    shifted by the count of earlier rows of the same key. Equal to `row_number()`, but no task
-    sorts a whole key, so one key (or the whole table) may hold any share of the rows.
+    Rows are range-partitioned by the whole sort key and stored with their range number; then each
+    range ranks its own rows, shifted by the count of earlier rows of the same key. The result is
+    that of `row_number()`, whatever ranges Spark picked, but no task sorts a whole key, so one key
+    (or the whole table) may hold any share of the rows.
     """
     keys = keys or []
-    cols = [F.col(k) for k in keys]
-    key = F.struct(*[c.alias(f"_k{i}") for i, c in enumerate([*cols, *order])])
-    bounds = _split_points(df, key, [*cols, *order]).withColumn("_one", F.lit(1))
-    tagged = _range_of(df.withColumn("_one", F.lit(1)).join(bounds, "_one").drop("_one"), key)
+    sort = {f"_o{i}": c for i, c in enumerate(order)}
+    ranged = df.withColumns(sort).repartitionByRange(*keys, *sort).withColumn("_range", F.spark_partition_id())
+    tagged = materialize(ranged, "ranked")
     counts = tagged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*sort)))
     joined = local.join(offsets, [*keys, "_range"])
     return joined.select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
