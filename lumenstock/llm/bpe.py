@@ -18,7 +18,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .chunks import Encodings, chunk_keys, default_path
+from .chunks import Encodings, default_path, encode_texts
 from .common import documents
 
 LONGEST = 256
@@ -69,6 +69,7 @@ class Bpe:
 
         self.find = regex.compile(PATTERN).findall
         self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.decimal = {i: str(i).encode() for i in self.bytes_of}
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         keys, values = [], []
         for token, rank in self.ranks.items():
@@ -164,22 +165,19 @@ class Bpe:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         return [ids.astype("<u4").tobytes() for ids in self.encode_pieces([p.encode() for p in pieces])]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of each chunk as bytes and as decimals."""
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk as bytes."""
         cut = [[(p,) for p in self.find(c)] for c in chunks]
         self.pieces.learn(cut)
-        ids = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
-        return [(i, ",".join(map(str, np.frombuffer(i, "<u4").tolist())).encode()) for i in ids]
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        """Ids of each text, and the same in decimals joined by commas."""
-        keys = [chunk_keys(t) for t in texts]
-        self.chunks.learn(keys)
-        out = []
-        for k in keys:
-            found = list(map(self.chunks.__getitem__, k))
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), "<u4"), b",".join([f[1] for f in found])))
-        return out
+        return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+
+    def encode(self, texts: list[str]):
+        """Ids of each text, text by text."""
+        for ids in encode_texts(self.chunks, texts):
+            yield np.frombuffer(ids, "<u4")
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        return b",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -199,7 +197,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         bpe = load(path)
         for batch in batches:
-            ids = [i for i, _ in bpe.encode(batch.column(1).to_pylist())]
+            ids = list(bpe.encode(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -214,9 +212,8 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         bpe = load(path)
         for batch in batches:
-            coded = bpe.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(i) for i, _ in coded], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for _, d in coded], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode(i)).hexdigest() for i, _ in coded], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [(len(i), hashlib.sha256(bpe.decimals(i)).hexdigest(), hashlib.sha256(bpe.decode(i)).hexdigest()) for i in bpe.encode(batch.column(1).to_pylist())]
+            n, coded, decoded = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

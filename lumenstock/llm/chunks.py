@@ -7,22 +7,26 @@ keeps the ids of chunks it has seen in two bounded generations and asks the libr
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import os
 import re
+import string
+import unicodedata
 from collections.abc import Callable
 
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_RARE = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]")
-GENERATION = 300_000
+_RARE = "\t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+GENERATION = 200_000
 
 
 def chunk_keys(text: str) -> list:
     """Keys of the chunks of a text in order: a word stands for a space and that word, a 1-tuple for a literal chunk."""
     if not text:
         return []
-    if not _RARE.search(text):
+    if not any(c in text for c in _RARE):
         keys: list = []
         for i, line in enumerate(text.split("\n")):
             words = line.split(" ")
@@ -35,6 +39,18 @@ def chunk_keys(text: str) -> list:
     return [(c,) for c in _CHUNK.findall(text)]
 
 
+def slices(texts: list[str], size: int = 1 << 20):
+    """Ranges of neighbouring texts of about `size` characters, so that the words of a batch are never held at once."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield slice(at, i + 1)
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
 def literal(key) -> str:
     return key[0] if type(key) is tuple else " " + key
 
@@ -64,16 +80,74 @@ class Encodings(dict):
             self.update(zip(part, self.encode([literal(k) for k in part])))
 
 
+class _Library:
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes; special strings are ordinary text.
+
+    A chunk is cut before its trailing ASCII punctuation, which the patterns never join to a letter or digit; so a word
+    is encoded once and not once with every mark. A word of letters is one piece for these vocabularies and goes
+    straight to the library's model, after the same normalisation and byte mapping; all else takes the whole way.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        with open(path) as f:
+            parts = json.load(f)
+        kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
+        before = parts["pre_tokenizer"]
+        self.lower = "Lowercase" in kinds
+        self.space = "" if before["type"] == "Sequence" else "\u0120"
+        known = kinds in ([], ["NFC", "Replace", "Lowercase"]) and (before["type"] == "ByteLevel" or before.get("pretokenizers", [{}])[-1].get("type") == "ByteLevel")
+        self.direct = known and parts["model"]["type"] == "BPE"
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_chars = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(seen))}
+        self.parts = Encodings(self._parts)
+
+    def _one(self, part: str) -> bytes | None:
+        word = part[1:] if part[0] == " " else part
+        if not self.direct or not word.isalpha() or max(word) >= "\u0370":
+            return None
+        if self.lower:
+            word = unicodedata.normalize("NFC", word).lower()
+            if not word.isalpha():
+                return None
+        mapped = word.encode().decode("latin-1").translate(self.byte_chars)
+        tokens = self.model.tokenize((self.space if part[0] == " " else "") + mapped)
+        return array.array("I", [t.id for t in tokens]).tobytes()
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        out = [self._one(p) for p in parts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+            out[i] = array.array("I", e.ids).tobytes()
+        return out
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        cut = []
+        for c in chunks:
+            stem = c.rstrip(string.punctuation)
+            cut.append([(stem,), (c[len(stem):],)] if stem and len(stem) < len(c) and stem[-1].isalnum() else [(c,)])
+        self.parts.learn(cut)
+        return [b"".join(map(self.parts.__getitem__, c)) for c in cut]
+
+
+def encode_texts(learned: Encodings, texts: list[str]):
+    """Joined values of each text's chunks, text by text."""
+    for cut in slices(texts):
+        keys = [chunk_keys(t) for t in texts[cut]]
+        learned.learn(keys)
+        for k in keys:
+            yield b"".join(map(learned.__getitem__, k))
+
+
 @functools.cache
 def library_encodings(path: str) -> Encodings:
-    """Ids, as little-endian unsigned 32-bit bytes, by the tokenizers library; special strings are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return Encodings(lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+    """Ids by chunk key, from a vocabulary of the tokenizers library."""
+    return Encodings(_Library(path).encode)
 
 
 def default_path(name: str) -> str:

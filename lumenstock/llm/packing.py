@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunks import chunk_keys, default_path, library_encodings
+from .chunks import default_path, encode_texts, library_encodings
 from .common import documents, stored
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -92,11 +92,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 
         learned, end = library_encodings(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            keys = [chunk_keys(t) for t in batch.column(1).to_pylist()]
-            learned.learn(keys)
             rows = []
-            for doc_id, k in zip(batch.column(0).to_pylist(), keys):
-                ids = b"".join(map(learned.__getitem__, k)) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(learned, batch.column(1).to_pylist())):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))

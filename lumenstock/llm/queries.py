@@ -9,8 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encoding_digests
 from .common import table
 from .exact_dedup import exact_duplicates
+from .html_text import page_texts
+from .license_scan import license_scan
+from .metric_join import near_vectors
+from .ngram_join import links_and_components
 from .packing import pack
+from .quality import quality
 from .rans import token_digests
+from .toxicity import toxicity
+
+
+def op1_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+def op4_license_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links_and_components(table(spark, sf_dir, "documents"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +47,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -30,7 +60,9 @@ def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_byte_bpe, op7_exact_dedup, op9_slack_packing, op10_rans_tokens)
+    f.__name__: f for f in (
+        op1_metric_join, op2_pu_quality, op3_layout_text, op4_license_voting, op5_ngram_join, op6_byte_bpe, op7_exact_dedup,
+        op8_toxic_segments, op9_slack_packing, op10_rans_tokens)
 }
 
 SQL = {

@@ -2,7 +2,7 @@
 
 The file format is a table in the shared folder with two kinds of rows. `table` rows hold the frequency table all
 blocks share (symbol ids and their slots out of 2**SCALE). `block` rows hold consecutive documents: ids and lengths
-of the documents, the coded words, one checkpoint for each segment (its first word and the states of its lanes) and
+of the documents, the number of ids before them, the coded words, one checkpoint for each segment (its first word and the states of its lanes) and
 two checksums, of the coded bytes and of the decoded ids. Blocks are independent and a segment can be decoded from
 its checkpoint alone, so readers split a file by block and decode all segments of a block side by side.
 
@@ -20,16 +20,15 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stage import shared_folder
-from .chunks import chunk_keys, default_path, library_encodings
+from .chunks import default_path, encode_texts, library_encodings
 from .common import documents, stored
 
 SCALE, LANES, STEPS = 20, 32, 512
 LOW, MASK, WORD = np.uint64(1 << 31), np.uint64((1 << SCALE) - 1), np.uint64(32)
-BLOCK = "kind string, part int, block long, doc_ids binary, lengths binary, n long, words binary, starts binary, states binary, steps int, coded_crc long, ids_crc long, symbols binary, slots binary"
+BLOCK = "kind string, part int, block long, start long, doc_ids binary, lengths binary, n long, words binary, starts binary, states binary, steps int, coded_crc long, ids_crc long, symbols binary, slots binary"
 
 
 def frequencies(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -110,15 +109,14 @@ def _tokenise(path: str, end_id: int):
         import pyarrow as pa
 
         learned = library_encodings(path)
-        end, seq = np.array([end_id], "<u4").tobytes(), 0
+        end, seq, at = np.array([end_id], "<u4").tobytes(), 0, 0
         for batch in batches:
             part, doc_id, text = (batch.column(i).to_pylist() for i in range(3))
-            keys = [chunk_keys(t) for t in text]
-            learned.learn(keys)
-            ids = [b"".join(map(learned.__getitem__, k)) + end for k in keys]
+            ids = [i + end for i in encode_texts(learned, text)]
+            after = at + np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), pa.array(range(seq, seq + len(part)), pa.int64()), pa.array(doc_id, pa.int64()), pa.array([_narrow(i) for i in ids], pa.binary())], names=["part", "seq", "doc_id", "ids"])
-            seq += len(part)
+                [pa.array(part, pa.int32()), pa.array(range(seq, seq + len(part)), pa.int64()), pa.array(after, pa.int64()), pa.array(doc_id, pa.int64()), pa.array([_narrow(i) for i in ids], pa.binary())], names=["part", "seq", "after", "doc_id", "ids"])
+            seq, at = seq + len(part), int(after[-1]) if len(after) else at
 
     return run
 
@@ -146,7 +144,7 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["symbol", "n"])
 
 
-def _encode(symbols: bytes, slots: bytes, block_ids: int):
+def _encode(symbols: bytes, slots: bytes, part_starts: dict[int, int], block_ids: int):
     def run(batches):
         import pyarrow as pa
 
@@ -154,24 +152,25 @@ def _encode(symbols: bytes, slots: bytes, block_ids: int):
         schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in BLOCK.split(", "))])
         coder = Coder(np.frombuffer(symbols, "<u4"), np.frombuffer(slots, "<u4").astype(np.int64))
         held: list[tuple[int, int, np.ndarray]] = []
-        size, part, first = 0, None, 0
+        size, part, first, start = 0, None, 0, 0
 
         def block():
             ids = np.concatenate([h[1] for h in held])
             words, starts, states, steps = coder.encode(ids)
-            row = ["block", part, first, np.array([h[0] for h in held], "<i8").tobytes(), np.array([len(h[1]) for h in held], "<i8").tobytes(), len(ids),
+            row = ["block", part, first, start, np.array([h[0] for h in held], "<i8").tobytes(), np.array([len(h[1]) for h in held], "<i8").tobytes(), len(ids),
                    words.tobytes(), starts.tobytes(), states.astype("<u8").tobytes(), steps, zlib.crc32(words.tobytes()), zlib.crc32(ids.tobytes()), None, None]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for p, seq, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, seq, after, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and (p != part or size >= block_ids):
                     yield block()
                     held, size = [], 0
+                wide = _wide(ids)
                 if not held:
-                    part, first = p, seq
-                held.append((doc_id, _wide(ids)))
-                size += len(held[-1][1])
+                    part, first, start = p, seq, part_starts[p] + after - len(wide)
+                held.append((doc_id, wide))
+                size += len(wide)
         if held:
             yield block()
 
@@ -195,8 +194,8 @@ def _decode(symbols: bytes, slots: bytes):
                 after = np.cumsum(lengths)
                 before = after - lengths
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["part"]] * len(lengths), pa.int32()), pa.array([row["block"]] * len(lengths), pa.int64()), pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64()), pa.array(before, pa.int64()),
-                    pa.array(lengths, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(before, after)], pa.binary())], names=["part", "block", "doc_id", "inside", "n_tokens", "ids"])
+                    pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64()), pa.array(row["start"] + before, pa.int64()),
+                    pa.array(lengths, pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(before, after)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return run
 
@@ -209,14 +208,18 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 0, bloc
     spark = docs.sparkSession
     path = path or default_path("byte_bpe_50k.json")
     ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    tokens = stored(ordered.mapInArrow(_tokenise(path, end_id), "part int, seq long, doc_id long, ids binary"), "token-ids")
+    tokens = stored(ordered.mapInArrow(_tokenise(path, end_id), "part int, seq long, after long, doc_id long, ids binary"), "token-ids")
+    sizes = sorted((r[0], r[1]) for r in tokens.groupBy("part").agg(F.max("after")).collect())  # one row for each written partition
+    part_starts, total = {}, 0
+    for part, n in sizes:
+        part_starts[part], total = total, total + n
     counts = tokens.select("ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
     known = sorted((r[0], r[1]) for r in counts.collect())  # at most the vocabulary
     symbols = np.array([k for k, _ in known], "<u4")
     slots = frequencies(symbols, np.array([n for _, n in known], np.int64)).astype("<u4") if known else symbols
     folder = f"{shared_folder(spark)}/token-file-{uuid.uuid4().hex}"
-    head = [("table", -1, -1, *[None] * 9, symbols.tobytes(), slots.tobytes())]
-    blocks = tokens.mapInArrow(_encode(symbols.tobytes(), slots.tobytes(), block_ids), BLOCK)
+    head = [("table", -1, -1, *[None] * 10, symbols.tobytes(), slots.tobytes())]
+    blocks = tokens.mapInArrow(_encode(symbols.tobytes(), slots.tobytes(), part_starts, block_ids), BLOCK)
     blocks.write.option("compression", "none").parquet(folder)
     spark.createDataFrame(head, BLOCK).coalesce(1).write.option("compression", "none").mode("append").parquet(folder)
     return folder
@@ -226,13 +229,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a token file: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian, 32 bits)."""
     rows = spark.read.schema(BLOCK).parquet(folder)
     head = rows.where("kind = 'table'").select("symbols", "slots").first()
-    blocks = rows.where("kind = 'block'")
-    sizes = blocks.select("part", "block", "n")
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each written partition
-    first = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
-    starts = sizes.join(first, "part").select("part", "block", (F.col("part_start") + F.sum("n").over(W.partitionBy("part").orderBy("block")) - F.col("n")).alias("block_start"))
-    read = blocks.mapInArrow(_decode(bytes(head[0]), bytes(head[1])), "part int, block long, doc_id long, inside long, n_tokens long, ids binary")
-    return read.join(starts, ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    decode = _decode(bytes(head[0]), bytes(head[1]))
+    return rows.where("kind = 'block'").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digests(docs: DataFrame, **options) -> DataFrame:
