@@ -105,34 +105,42 @@ class _Library:
         self.direct = known and parts["model"]["type"] == "BPE"
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_chars = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(seen))}
-        self.parts = Encodings(self._parts)
+        self.parts: dict[str, bytes] = {}
 
-    def _one(self, part: str) -> bytes | None:
+    def _whole(self, part: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _one(self, part: str) -> bytes:
         word = part[1:] if part[0] == " " else part
         if not self.direct or not word.isalpha() or max(word) >= "\u0370":
-            return None
+            return self._whole(part)
         if self.lower:
             word = unicodedata.normalize("NFC", word).lower()
             if not word.isalpha():
-                return None
+                return self._whole(part)
         mapped = word.encode().decode("latin-1").translate(self.byte_chars)
         tokens = self.model.tokenize((self.space if part[0] == " " else "") + mapped)
         return array.array("I", [t.id for t in tokens]).tobytes()
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        out = [self._one(p) for p in parts]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
-            out[i] = array.array("I", e.ids).tobytes()
-        return out
-
     def encode(self, chunks: list[str]) -> list[bytes]:
-        cut = []
+        if len(self.parts) > GENERATION:
+            self.parts.clear()
+        parts, one, out = self.parts, self._one, []
         for c in chunks:
             stem = c.rstrip(string.punctuation)
-            cut.append([(stem,), (c[len(stem):],)] if stem and len(stem) < len(c) and stem[-1].isalnum() else [(c,)])
-        self.parts.learn(cut)
-        return [b"".join(map(self.parts.__getitem__, c)) for c in cut]
+            if not stem or not stem[-1].isalnum():
+                stem = c
+            ids = parts.get(stem)
+            if ids is None:
+                ids = parts[stem] = one(stem)
+            if len(stem) < len(c):
+                tail = c[len(stem):]
+                more = parts.get(tail)
+                if more is None:
+                    more = parts[tail] = self._whole(tail)
+                ids += more
+            out.append(ids)
+        return out
 
 
 def encode_texts(learned: Encodings, texts: list[str]):

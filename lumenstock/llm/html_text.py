@@ -227,15 +227,20 @@ def _indented(node: Node, out: _Lines, mark: str, kept: bool) -> None:
 
 
 def _table(table: Node) -> list[str]:
-    """Rows with their cells in aligned columns, two spaces apart; captions first."""
+    """Rows with their cells in aligned columns, two spaces apart; captions and stray text first."""
     captions, rows = [], []
 
     def gather(node: Node) -> None:
         for child in node.children:
-            if isinstance(child, str) or not seen(child):
+            if isinstance(child, str):
+                captions.extend([_BLANK.sub(" ", child).strip()] if child.strip(" \t\n\r\f") else [])
+            elif not seen(child):
                 continue
-            if child.name == "tr":
+            elif child.name == "tr":
                 rows.append([c for c in child.children if not isinstance(c, str) and c.name in ("td", "th") and seen(c)])
+                rest = Node("tr")  # what stands in a row outside its cells
+                rest.children = [c for c in child.children if isinstance(c, str) or c.name not in ("td", "th")]
+                gather(rest)
             elif child.name in ROWS:
                 gather(child)
             else:

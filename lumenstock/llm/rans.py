@@ -6,7 +6,7 @@ of the documents, the number of ids before them, the coded words, one checkpoint
 two checksums, of the coded bytes and of the decoded ids. Blocks are independent and a segment can be decoded from
 its checkpoint alone, so readers split a file by block and decode all segments of a block side by side.
 
-Coder: 64-bit states in [2**31, 2**63), 32-bit words. A segment is STEPS x LANES symbols; lane `l` takes symbols
+Coder: 64-bit states in [2**31, 2**63), 32-bit words. A segment is at most STEPS x LANES symbols; lane `l` takes symbols
 `l, LANES + l, ...`; the words of a segment stand in decoding order.
 
 Null texts are empty (one end id). Rows without an id are left out; rows that repeat an id follow each other. An
@@ -64,7 +64,7 @@ class Coder:
         """Words, first word of each segment, lane states of each segment, steps."""
         n = len(ids)
         segments = max(1, -(-n // (LANES * STEPS)))
-        steps = STEPS if segments > 1 else max(1, -(-n // LANES))
+        steps = max(1, -(-n // (segments * LANES)))  # at most STEPS
         codes = np.full(segments * steps * LANES, int(np.argmax(self.freq)), np.int32)
         codes[:n] = self.index[ids]
         if n and codes.min() < 0:
