@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -16,19 +17,20 @@ HEADLINE = [
 ]
 
 
-def session(cpus: str) -> SparkSession:
+def session(cpus: str, folder: str) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName("lumenstock-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true").config("spark.driver.memory", "16g").config("spark.ui.enabled", "false")
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000").config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = session(os.environ.get("BENCH_CPUS", "8"))
+    stages = tempfile.TemporaryDirectory(prefix="bench-")
+    spark = session(os.environ.get("BENCH_CPUS", "8"), stages.name)
     spark.sparkContext.setLogLevel("ERROR")
     from lumenstock.plans import QUERIES
 
@@ -44,6 +46,7 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
     spark.stop()
+    stages.cleanup()
 
 
 if __name__ == "__main__":

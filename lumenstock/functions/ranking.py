@@ -25,8 +25,10 @@ def descending(col: Column) -> Column:
     return F.coalesce(-col, F.lit(float("inf")))
 
 
-def spread_rank(df: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Exact 1-based position of each row under `order` (ascending, NULL-free, ending in a unique column), within `keys`.
+def spread_rank(df: DataFrame, order: list[Column | tuple[Column, bool]], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """Exact 1-based position of each row under `order` (NULL-free, ending in a unique column), within `keys`.
+
+    A column sorts ascending, or by `(column, descending)`.
 
     Rows are range-partitioned by the whole sort key and stored with their range number; then each
     range ranks its own rows, shifted by the count of earlier rows of the same key. The result is
@@ -34,12 +36,14 @@ def spread_rank(df: DataFrame, order: list[Column], keys: list[str] | None = Non
     (or the whole table) may hold any share of the rows.
     """
     keys = keys or []
-    sort = {f"_o{i}": c for i, c in enumerate(order)}
-    ranged = df.withColumns(sort).repartitionByRange(*keys, *sort).withColumn("_range", F.spark_partition_id())
+    given = [o if isinstance(o, tuple) else (o, False) for o in order]
+    sort = {f"_o{i}": c for i, (c, _) in enumerate(given)}
+    by = [F.col(n).desc() if down else F.col(n).asc() for n, (_, down) in zip(sort, given)]
+    ranged = df.withColumns(sort).repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id())
     tagged = materialize(ranged, "ranked")
     counts = tagged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*sort)))
+    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*by)))
     joined = local.join(offsets, [*keys, "_range"])
     return joined.select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOT: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read, as named by the cluster in `spark.checkpoint.dir`.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
+    """The folder every executor can read: `spark.checkpoint.dir`, or else a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="run-"))
-    return _LOCAL_ROOT[0]
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

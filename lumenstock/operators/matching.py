@@ -22,6 +22,7 @@ from ..functions.rules import accessible, budget_ramp, clamp01, payload_headroom
 from ..functions.stage import materialize
 from ..functions.text import plain_number
 from .evidence import freshest_evidence
+from .offers import newest
 
 ANY = "ANY"
 TOP = 4
@@ -215,7 +216,7 @@ def supply(m: dict) -> DataFrame:
         .join(fielded, "product_id", "left").join(fresh, "product_id", "left").join(fits, "product_id", "left")
         .join(price_points(m["pricing"]), "product_id", "left")
         .withColumn("deployments", F.coalesce("deployments", F.lit(0).cast("long")))
-        .withColumn("staleness", F.coalesce(-F.unix_date("freshest_verified_at"), F.lit(2**31 - 1)).cast("long"))
+        .withColumn("staleness", F.coalesce(newest("freshest_verified_at"), F.lit(2**62)))
         .withColumn(SUBS["deployment_readiness"], _deployment_sub())
     )
     classes = F.array(*[F.lit(c) for c in [*vocab.PREFERENCE_TO_TRANSACTION.values(), ANY]])

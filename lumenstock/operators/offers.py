@@ -18,6 +18,11 @@ VERTICALS = {
 PRICE_COLUMNS = ["price", "price_min", "price_max", "currency", "billing_period", "price_type"]
 
 
+def newest(name: str) -> Column:
+    """Ascending-sort stand-in for a date or a timestamp in descending order, to the microsecond."""
+    return -F.unix_micros(F.col(name).cast("timestamp"))
+
+
 def _scope(provider: Column, region: Column, variant: Column) -> Column:
     part = lambda c: F.coalesce(c.cast("string"), F.lit("*"))
     return F.concat_ws("|", part(provider), part(region), part(variant))
@@ -38,7 +43,7 @@ def commercial_offer(availability: DataFrame, pricing: DataFrame, region: DataFr
         scoped.select("*", F.col("id").alias("pricing_offer_id"), F.col("provider_id").alias("price_provider_id"),
                       F.col("region_id").alias("price_region_id")),
         ["product_id", "transaction_type", "_scope"],
-        [-F.unix_date("updated_at"), F.col("id")],
+        [newest("updated_at"), F.col("id")],
         ["pricing_offer_id", *PRICE_COLUMNS, "price_provider_id", "price_region_id", "updated_at"],
     )
 
@@ -77,7 +82,7 @@ def commercial_offer(availability: DataFrame, pricing: DataFrame, region: DataFr
     chosen = first_per_key(
         keys.join(best, ["product_id", "transaction_type", "_scope"]),
         ["_offer"],
-        [F.col("_p"), F.col("_r"), F.col("_v"), -F.unix_date("updated_at"), F.col("pricing_offer_id")],
+        [F.col("_p"), F.col("_r"), F.col("_v"), newest("updated_at"), F.col("pricing_offer_id")],
         carried,
     )
     return availability.join(chosen, F.col("id") == F.col("_offer"), "left").drop("_offer")
@@ -138,7 +143,7 @@ def headline_price(pricing: DataFrame) -> DataFrame:
     kind = vocab.lookup(F.col("price_type"), {p: i for i, p in enumerate(vocab.PRICE_TYPE)}, 9)
     return first_per_key(
         pricing.filter("is_current").withColumn("pricing_id", F.col("id")), ["product_id"],
-        [mode, kind, -F.unix_date("updated_at"), F.col("id")],
+        [mode, kind, newest("updated_at"), F.col("id")],
         ["pricing_id", "transaction_type", *PRICE_COLUMNS],
     )
 

@@ -5,38 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: a region tree has one level per region type.
-REGION_TYPES = ["GLOBAL", "CONTINENT", "ECONOMIC_ZONE", "COUNTRY", "SUBREGION"]
-
+from ..functions.stage import materialize
 
 def regions_by_type(region: DataFrame, kind: str | None = None) -> DataFrame:
     rows = region if kind is None else region.filter(F.col("type") == kind)
     return rows.select("code", "type", "name").orderBy("name", "code")
 
 
-def region_closure(region: DataFrame, max_depth: int = len(REGION_TYPES)) -> DataFrame:
+def region_closure(region: DataFrame) -> DataFrame:
     """(region_id, ancestor_id, depth), each region being its own ancestor at depth 0.
 
-    One self-join per tree level. An ancestor already on the path is never visited again, so a
-    cycle in the data ends instead of repeating.
+    Every region carries the path of ancestors found so far; a round appends the path of the last
+    one's parent, so paths double until all have reached a root, whatever the depth. In a cycle an
+    ancestor already on the path is not repeated and the path ends.
     """
-    parents = region.select(F.col("id").alias("_child"), F.col("parent_id").alias("_parent")).filter("_parent IS NOT NULL")
-    level = region.select(
-        F.col("id").alias("region_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"),
-        F.array("id").alias("_path"),
-    )
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = (
-            level.join(parents, F.col("ancestor_id") == F.col("_child"))
-            .filter(~F.array_contains("_path", F.col("_parent")))
-            .select(
-                "region_id", F.col("_parent").alias("ancestor_id"), F.lit(depth).alias("depth"),
-                F.concat("_path", F.array("_parent")).alias("_path"),
-            )
-        )
-        out = out.unionByName(level)
-    return out.drop("_path")
+    paths = region.select(F.col("id").alias("region_id"), F.array("id").alias("path"), F.col("parent_id").alias("next"))
+    while True:
+        on = paths.select(F.col("region_id").alias("_id"), F.col("path").alias("_more"), F.col("next").alias("_next"))
+        met = paths.join(on, F.col("next") == F.col("_id"), "left")
+        # A parent that has no row of its own is still an ancestor, and the last one.
+        more = F.coalesce("_more", F.when(F.col("next").isNotNull(), F.array("next")), F.array().cast("array<long>"))
+        met = met.select("region_id", "path", "_next", more.alias("_more"))
+        fresh = F.filter("_more", lambda x: ~F.array_contains("path", x))
+        ended = F.size(fresh) < F.size("_more")
+        paths = materialize(met.select("region_id", F.concat("path", fresh).alias("path"), F.when(~ended, F.col("_next")).alias("next")), "paths")
+        if paths.filter("next IS NOT NULL").isEmpty():
+            return paths.select("region_id", F.posexplode("path").alias("depth", "ancestor_id")).select("region_id", "ancestor_id", "depth")
 
 
 def global_id(region: DataFrame) -> Column:

@@ -162,17 +162,15 @@ def unknown_excluded(m: dict, f: Filters) -> DataFrame:
     return rows
 
 
-def sort_columns(key: str) -> list[Column]:
-    """Ascending, NULL-free sort columns of a sort key: unknown values last both ways, slug breaks ties."""
+def sort_columns(key: str) -> list[Column | tuple[Column, bool]]:
+    """NULL-free sort columns of a sort key, as `spread_rank` takes them: unknown values last both ways, slug breaks ties."""
     down, name = key.startswith("-"), key.lstrip("-")
     if name not in vocab.SORT_KEYS:
         raise ValueError(f"sort must be one of {vocab.SORT_KEYS}, got {key!r}")
     if name == "name":
-        if down:
-            raise ValueError("use order_by() for a descending text sort")
-        return [F.col("name"), F.col("slug")]
+        return [(F.col("name"), down), F.col("slug")]
     number = {
-        "price": F.col("lowest_purchase_price"), "payload": F.col("payload_kg"), "newest": F.unix_date("created_on"),
+        "price": F.col("lowest_purchase_price"), "payload": F.col("payload_kg"), "newest": F.unix_micros(F.col("created_on").cast("timestamp")),
     }[name].cast("double")
     return [F.coalesce(-number if down else number, F.lit(float("inf"))), F.col("slug")]
 

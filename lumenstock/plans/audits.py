@@ -52,15 +52,15 @@ def crawl_runs(c: Catalog):
 def fetched_pages(c: Catalog):
     key = F.col("page_id")
     return c.table("pages").select(
-        key.alias("id"), (key * 7 % 150).alias("run_id"),
-        F.concat(F.lit("src"), (F.when(key % 9 == 0, key).otherwise(key * 7 % 150) % 20).cast("string")).alias("source"),
+        key.alias("id"), F.floor(key * 7 / 10).alias("run_id"),
+        F.concat(F.lit("src"), (F.when(key % 9 == 0, key).otherwise(F.floor(key * 7 / 10)) % 20).cast("string")).alias("source"),
     )
 
 
 def lineage_rows(c: Catalog):
     key = F.col("doc_id")
-    page = key % 100
-    run = F.when(key % 13 == 0, key % 150).otherwise(page * 7 % 150)
+    page = F.floor(key / 4)
+    run = F.when(key % 13 == 0, F.floor(key / 10)).otherwise(F.floor(page * 7 / 10))
     return c.table("documents").select(
         key.alias("id"), F.when(key % 6 != 0, page).alias("page_id"), F.when(key % 8 != 0, run).alias("run_id"), "source"
     )
@@ -70,10 +70,10 @@ shared_view("m_crawl_run", """
 SELECT event_id AS id, 'src' || (event_id % 20) AS source, CASE WHEN event_id % 3 = 0 THEN 'RUNNING' ELSE 'FINISHED' END AS status,
   CASE WHEN (event_id % 3 <> 0 AND event_id % 10 <> 1) OR event_id % 30 = 0 THEN ts END AS finished_at FROM events""")
 shared_view("m_fetched_page", """
-SELECT page_id AS id, page_id * 7 % 150 AS run_id, 'src' || (CASE WHEN page_id % 9 = 0 THEN page_id ELSE page_id * 7 % 150 END % 20) AS source FROM pages""")
+SELECT page_id AS id, page_id * 7 // 10 AS run_id, 'src' || (CASE WHEN page_id % 9 = 0 THEN page_id ELSE page_id * 7 // 10 END % 20) AS source FROM pages""")
 shared_view("m_lineage_row", """
-SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN doc_id % 100 END AS page_id,
-  CASE WHEN doc_id % 8 <> 0 THEN CASE WHEN doc_id % 13 = 0 THEN doc_id % 150 ELSE (doc_id % 100) * 7 % 150 END END AS run_id, source FROM documents""")
+SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN doc_id // 4 END AS page_id,
+  CASE WHEN doc_id % 8 <> 0 THEN CASE WHEN doc_id % 13 = 0 THEN doc_id // 10 ELSE (doc_id // 4) * 7 // 10 END END AS run_id, source FROM documents""")
 
 
 def signals(c: Catalog):
@@ -146,7 +146,7 @@ def excerpts(c: Catalog):
     k = F.col("doc_id")
     kind = F.when(k % 3 == 0, "CLAIM").when(k % 3 == 1, "COMMERCIAL_SIGNAL").otherwise("IMAGE_REF")
     return c.table("documents").select(
-        k.alias("id"), kind.alias("subject_type"), F.when(k % 14 == 0, k + 10_000_000).otherwise(k % 240).cast("string").alias("subject_id"), "source"
+        k.alias("id"), kind.alias("subject_type"), F.when(k % 14 == 0, k + 10_000_000).otherwise(F.floor(k / 4)).cast("string").alias("subject_id"), "source"
     )
 
 
@@ -155,7 +155,7 @@ WITH s AS (SELECT 'CLAIM' AS subject_type, CAST(id AS VARCHAR) AS subject_id, so
   UNION ALL SELECT 'COMMERCIAL_SIGNAL', CAST(id AS VARCHAR), source FROM m_crawl_run
   UNION ALL SELECT 'IMAGE_REF', CAST(id AS VARCHAR), CASE WHEN id % 5 <> 0 THEN source END FROM m_fetched_page),
 x AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'CLAIM' WHEN 1 THEN 'COMMERCIAL_SIGNAL' ELSE 'IMAGE_REF' END AS subject_type,
-    CAST(CASE WHEN doc_id % 14 = 0 THEN doc_id + 10000000 ELSE doc_id % 240 END AS VARCHAR) AS subject_id, source FROM documents)
+    CAST(CASE WHEN doc_id % 14 = 0 THEN doc_id + 10000000 ELSE doc_id // 4 END AS VARCHAR) AS subject_id, source FROM documents)
 SELECT x.id, CASE WHEN s.subject_id IS NULL THEN 'no_such_subject' WHEN s.source IS NULL THEN 'subject_without_source' ELSE 'other_source' END AS problem
 FROM x LEFT JOIN s USING (subject_type, subject_id) WHERE s.subject_id IS NULL OR s.source IS NULL OR s.source <> x.source""")
 def _(c):

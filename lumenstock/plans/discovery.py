@@ -135,7 +135,7 @@ def _(c):
 SELECT id, sha256('[' || concat_ws(',', '["candidate_id","' || id || '"]', '["external_ref","' || external_ref || '"]', '["candidate_name","' || name || '"]',
   '["candidate_manufacturer","' || manufacturer || '"]', '["identity_status","' || identity_status || '"]', '["status","' || status || '"]',
   '["trace_state","' || trace_state || '"]', '["official_url_lead",' || coalesce('"' || official_url || '"', 'null') || ']',
-  '["updated_at","' || strftime(updated_at, '%Y-%m-%dT00:00:00+00:00') || '"]') || ']') AS snapshot_hash FROM m_identity""")
+  '["updated_at","' || strftime(updated_at, '%Y-%m-%dT00:00:00.000000+00:00') || '"]') || ']') AS snapshot_hash FROM m_identity""")
 def _(c):
     return dc.snapshot_hash(identified(c)).select("id", "snapshot_hash")
 
@@ -144,7 +144,7 @@ shared_view("m_hash", """
 SELECT id, sha256('[' || concat_ws(',', '["candidate_id","' || id || '"]', '["external_ref","' || external_ref || '"]', '["candidate_name","' || name || '"]',
   '["candidate_manufacturer","' || manufacturer || '"]', '["identity_status","' || identity_status || '"]', '["status","' || status || '"]',
   '["trace_state","' || trace_state || '"]', '["official_url_lead",' || coalesce('"' || official_url || '"', 'null') || ']',
-  '["updated_at","' || strftime(updated_at, '%Y-%m-%dT00:00:00+00:00') || '"]') || ']') AS h FROM m_identity""")
+  '["updated_at","' || strftime(updated_at, '%Y-%m-%dT00:00:00.000000+00:00') || '"]') || ']') AS h FROM m_identity""")
 
 
 @query("review_worksheet", """
@@ -159,8 +159,8 @@ def _(c):
 SELECT CASE WHEN d.candidate_id % 31 = 0 THEN d.candidate_id + 10000000 ELSE d.candidate_id END AS candidate_id,
   CASE WHEN decision = '' THEN 'skipped' WHEN d.candidate_id % 31 = 0 THEN 'blocked' WHEN i.status IN ('PROMOTED', 'REJECTED') THEN 'skipped'
     WHEN d.candidate_id % 6 = 0 THEN 'blocked' WHEN decision = 'reject' THEN 'rejected' ELSE 'confirmed' END AS outcome,
-  CASE WHEN decision = '' THEN 'unreviewed' WHEN d.candidate_id % 31 = 0 THEN 'candidate not found' WHEN i.status IN ('PROMOTED', 'REJECTED') THEN 'already ' || i.status
-    WHEN d.candidate_id % 6 = 0 THEN 'candidate changed since worksheet export; re-export and review again' END AS why
+  CASE WHEN decision = '' THEN 'unreviewed' WHEN d.candidate_id % 31 = 0 THEN 'NOT_FOUND' WHEN i.status IN ('PROMOTED', 'REJECTED') THEN 'ALREADY:' || i.status
+    WHEN d.candidate_id % 6 = 0 THEN 'CHANGED' END AS why
 FROM m_decision d LEFT JOIN m_identity i ON i.id = d.candidate_id""")
 def _(c):
     people = identified(c)
@@ -177,11 +177,11 @@ _PROMOTABLE = "identity_status IN ('MATCHED_EXISTING', 'NEW_ENTITY')"
 
 
 @query("promotion_gates", f"""
-SELECT s.id, concat_ws('|', CASE WHEN NOT {_PROMOTABLE} THEN 'P1 identity not resolved (identity_status=' || identity_status || ')' END,
-  CASE WHEN trace_state <> 'TRACE_CONFIRMED' OR trace_url IS NULL OR trace_verified_by IS NULL THEN 'P2 no confirmed authoritative trace (needs record_trace)' END,
-  CASE WHEN status = 'CONFLICT' OR coalesce(clash, false) THEN 'P4 unresolved evidence conflict' END,
-  CASE WHEN entity_type <> 'ROBOT' THEN 'P6 v0.1 promotes ROBOT candidates only (entity_type=' || entity_type || ')' END,
-  CASE WHEN status <> 'READY_FOR_PROMOTION' THEN 'not READY_FOR_PROMOTION (status=' || status || ')' END) AS gates_failed,
+SELECT s.id, concat_ws('|', CASE WHEN NOT {_PROMOTABLE} THEN 'P1:' || identity_status END,
+  CASE WHEN trace_state <> 'TRACE_CONFIRMED' OR trace_url IS NULL OR trace_verified_by IS NULL THEN 'P2' END,
+  CASE WHEN status = 'CONFLICT' OR coalesce(clash, false) THEN 'P4' END,
+  CASE WHEN entity_type <> 'ROBOT' THEN 'P6:' || entity_type END,
+  CASE WHEN status <> 'READY_FOR_PROMOTION' THEN 'NOT_READY:' || status END) AS gates_failed,
   coalesce(v, 0) AS verified_claims, coalesce(u, 0) AS unresolved_claims
 FROM m_state s LEFT JOIN (SELECT candidate_id, count(*) FILTER (WHERE claim_status = 'VERIFIED') AS v, count(*) FILTER (WHERE claim_status <> 'VERIFIED') AS u,
   bool_or(claim_status = 'CONFLICT') AS clash FROM m_spec_claim GROUP BY 1) c ON c.candidate_id = s.id""")
@@ -243,8 +243,8 @@ r AS (SELECT id, name, made AS slug, coalesce(k1.slug, {sql_slug('maker')}) AS m
   FROM {_slugged('i', 'maker')} x LEFT JOIN (SELECT {_loose('slug')} AS k, min(slug) AS slug FROM m_manufacturer GROUP BY 1) k1 ON k1.k = {_loose('maker')}),
 h AS (SELECT r.*, EXISTS (SELECT 1 FROM p WHERE {_loose('p.manufacturer_slug')} = {_loose('r.maker_slug')} AND {_loose('p.name')} = {_loose('r.name')}) AS held,
     EXISTS (SELECT 1 FROM p WHERE p.slug = r.slug) AS taken FROM r)
-SELECT id, maker_slug, new_maker, slug, CASE WHEN held THEN 'already in the catalogue'
-  WHEN taken OR row_number() OVER (PARTITION BY held, slug ORDER BY id) > 1 THEN 'slug collision — rename by hand' ELSE 'stub' END AS outcome FROM h""")
+SELECT id, maker_slug, new_maker, slug, CASE WHEN held THEN 'HELD'
+  WHEN taken OR row_number() OVER (PARTITION BY held, slug ORDER BY id) > 1 THEN 'SLUG_TAKEN' ELSE 'STUB' END AS outcome FROM h""")
 def _(c):
     maker = F.when(F.col("id") % 2 == 0, F.regexp_replace("manufacturer", " Inc\\.$", "")).otherwise(F.col("manufacturer"))
     incoming = c.candidate.select("id", maker.alias("manufacturer"), "name")

@@ -67,7 +67,7 @@ def _(c):
 
 @query("resolve_requirements", """
 WITH q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'SPACE' WHEN o_orderkey % 5 <> 0 THEN c_mktsegment END AS use_case,
-    CASE WHEN o_orderkey % 13 = 0 THEN 'Z1' WHEN o_orderkey % 4 <> 0 THEN 'N' || c_nationkey END AS country, CASE WHEN o_orderkey % 3 = 0 THEN 'p-' || (o_orderkey % 200) END AS slug
+    CASE WHEN o_orderkey % 13 = 0 THEN 'Z1' WHEN o_orderkey % 4 <> 0 THEN 'N' || c_nationkey END AS country, CASE WHEN o_orderkey % 3 = 0 THEN 'p-' || (o_orderkey % (SELECT count(*) + 10 FROM part)) END AS slug
   FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT q.id, r.id AS country_id, p.id AS product_id, concat_ws('|', CASE WHEN q.use_case = 'SPACE' THEN 'unknown_use_case' END, CASE WHEN q.country = 'Z1' THEN 'unknown_country' END,
   CASE WHEN q.slug IS NOT NULL AND p.id IS NULL THEN 'unknown_or_unpublished_product' END) AS reasons
@@ -77,7 +77,7 @@ def _(c):
     requests = c.table("orders").join(c.table("customer"), F.col("c_custkey") == F.col("o_custkey")).select(
         key.alias("id"), F.when(key % 11 == 0, "SPACE").when(key % 5 != 0, F.col("c_mktsegment")).alias("use_case"),
         F.when(key % 13 == 0, "Z1").when(key % 4 != 0, F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))).alias("country"),
-        F.when(key % 3 == 0, F.concat(F.lit("p-"), (key % 200).cast("string"))).alias("product_slug"),
+        F.when(key % 3 == 0, F.concat(F.lit("p-"), (key % (product_count(c) + 10)).cast("string"))).alias("product_slug"),
     )
     ok, rejected = ld.resolve_requirements(requests, c.use_case, c.region, c.product)
     none = F.array().cast("array<string>")
@@ -109,25 +109,30 @@ def _(c):
 
 # ---- capture and routing ---------------------------------------------------------------------------
 
+def product_count(c: Catalog):
+    return c.table("part").agg(F.count(F.lit(1))).scalar()
+
+
 def stored_matches(c: Catalog):
     """A stored shortlist of four products per requirement."""
     i = F.col("rank")
     rows = c.requirement.select(F.col("id").alias("requirement_id"), F.explode(F.array(*[F.lit(n) for n in range(1, 5)])).alias("rank"))
-    product = (F.col("requirement_id") * 7 + i * 13) % 200
+    product = (F.col("requirement_id") * 7 + i * 13) % product_count(c)
     return rows.select("requirement_id", "rank", product.alias("product_id"), F.concat(F.lit("p-"), product.cast("string")).alias("slug"), (90 - i).cast("long").alias("score"))
 
 
 shared_view("m_stored", """
-SELECT id AS requirement_id, i AS rank, (id * 7 + i * 13) % 200 AS product_id, 'p-' || ((id * 7 + i * 13) % 200) AS slug, 90 - i AS score
-FROM m_requirement, (VALUES (1), (2), (3), (4)) t(i)""")
+SELECT id AS requirement_id, i AS rank, (id * 7 + i * 13) % n AS product_id, 'p-' || ((id * 7 + i * 13) % n) AS slug, 90 - i AS score
+FROM m_requirement, (VALUES (1), (2), (3), (4)) t(i), (SELECT count(*) AS n FROM part) u""")
 
 
 def submissions(c: Catalog):
-    key, part = F.col("o_orderkey"), F.col("o_orderkey") % 50
-    need = F.when(part < 5, key - part + 1)
-    pick = (need * 7 + (key % 4 + 1) * 13) % 200
-    slug = F.concat(F.lit("p-"), F.when(need.isNull(), key % 210).otherwise(pick).cast("string"))
-    return c.table("orders").filter(part.between(2, 5)).select(
+    """Every order: most by a customer about their requirement, the rest direct."""
+    key, n = F.col("o_orderkey"), product_count(c)
+    need = F.when(key % 4 != 3, F.col("o_custkey"))
+    pick = (need * 7 + (key % 4 + 1) * 13) % n
+    slug = F.concat(F.lit("p-"), F.when(need.isNull(), key % (n + 10)).otherwise(pick).cast("string"))
+    return c.table("orders").select(
         key.alias("id"), need.alias("requirement_id"),
         F.when(key % 400 == 4, "other@y.example").when(key % 300 == 3, "not-an-address").otherwise(
             F.concat(F.lit("Buyer"), F.coalesce(need, key).cast("string"), F.lit("@x.example"))).alias("contact_email"),
@@ -144,8 +149,8 @@ shared_view("m_submission", """
 SELECT id, need AS requirement_id, CASE WHEN id % 400 = 4 THEN 'other@y.example' WHEN id % 300 = 3 THEN 'not-an-address' ELSE 'Buyer' || coalesce(need, id) || '@x.example' END AS email,
   CASE WHEN id % 4 <> 0 THEN 'Name ' || id END AS contact_name, CASE WHEN id % 3 <> 0 THEN 'Org ' || id END AS organization, CASE WHEN id % 7 = 0 THEN '+1 555' END AS phone,
   CASE WHEN id % 350 = 2 THEN 'Z1' WHEN id % 3 <> 1 THEN 'N' || (id % 25) END AS country, CASE WHEN id % 4 = 0 THEN 'RENT' END AS pref,
-  CASE WHEN id % 5 = 3 THEN 'note ' || id END AS message, 'p-' || CASE WHEN need IS NULL THEN id % 210 ELSE (need * 7 + (id % 4 + 1) * 13) % 200 END AS slug, id % 250 = 3 AS stray
-FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 < 5 THEN o_orderkey - o_orderkey % 50 + 1 END AS need FROM orders WHERE o_orderkey % 50 BETWEEN 2 AND 5) o""")
+  CASE WHEN id % 5 = 3 THEN 'note ' || id END AS message, 'p-' || CASE WHEN need IS NULL THEN id % (n + 10) ELSE (need * 7 + (id % 4 + 1) * 13) % n END AS slug, id % 250 = 3 AS stray
+FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 3 THEN o_custkey END AS need FROM orders) o, (SELECT count(*) AS n FROM part) u""")
 shared_view("m_judged", """
 SELECT s.*, r.id AS country_id, q.country_id AS own_country, q.preferred_transaction AS own_pref, CASE WHEN email = 'not-an-address' THEN 'contact_email is not valid'
   WHEN s.country IS NOT NULL AND r.id IS NULL THEN 'unknown country' WHEN requirement_id IS NOT NULL AND q.id IS NULL THEN 'requirement not found'

@@ -77,12 +77,12 @@ JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
     "m_deployment": """
 SELECT l_partkey || '-' || l_suppkey AS id, l_partkey AS product_id, l_suppkey AS provider_id,
     CAST(max(l_extendedprice) AS DECIMAL(16,2)) AS contract_value
-FROM lineitem WHERE l_quantity >= 49 GROUP BY l_partkey, l_suppkey""",
+FROM lineitem GROUP BY l_partkey, l_suppkey""",
     "m_fit": """
 SELECT l_partkey AS product_id, c_mktsegment AS use_case,
     CASE WHEN l_partkey % 8 <> 0 THEN CAST(max(l_discount) * 10 AS DECIMAL(4,3)) END AS fit_score
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-WHERE l_quantity > 30 GROUP BY l_partkey, c_mktsegment""",
+GROUP BY l_partkey, c_mktsegment""",
     "m_evidence": """
 SELECT subject_type || '-' || subject_id || '-' || k AS id, subject_type, subject_id,
     CASE WHEN n % 3 <> k THEN DATE '2026-01-01' END AS verified_at,
@@ -94,7 +94,7 @@ FROM (SELECT 'COMMERCIAL_STATUS' AS subject_type, CAST(p_partkey AS VARCHAR) AS
       UNION ALL SELECT 'PRICING_OFFER', id, product_id + CAST(split_part(id, '-', 2) AS BIGINT) FROM m_pricing) f,
      (VALUES (1), (2)) t(k) WHERE n % 17 <> 0""",
     "m_image": """
-SELECT page_id AS id, page_id % 100 AS product_id, url AS image_url,
+SELECT page_id AS id, page_id // 4 AS product_id, url AS image_url,
     CASE WHEN page_id % 5 = 0 THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS identity_status,
     (['PERMITTED','ATTRIBUTION_REQUIRED','UNKNOWN','RESTRICTED'])[page_id % 4 + 1] AS rights_status,
     CASE WHEN page_id % 3 = 0 THEN 'OFFICIAL_MANUFACTURER_MEDIA' ELSE 'NONE' END AS usage_basis,
@@ -105,29 +105,28 @@ SELECT page_id AS id, page_id % 100 AS product_id, url AS image_url,
     CASE WHEN page_id % 9 <> 4 THEN url END AS source_url
 FROM pages""",
     "m_hero": """
-SELECT page_id % 100 AS product_id, max(url) || ' ' AS hero_image_url
-FROM pages WHERE page_id % 3 <> 1 GROUP BY page_id % 100""",
+SELECT page_id // 4 AS product_id, max(url) || ' ' AS hero_image_url
+FROM pages WHERE page_id % 3 <> 1 GROUP BY page_id // 4""",
     "m_status_history": """
 SELECT DISTINCT l_partkey AS product_id,
     CASE l_returnflag WHEN 'A' THEN 'ANNOUNCED' WHEN 'N' THEN 'PROTOTYPE' WHEN 'R' THEN 'COMMERCIAL' END AS status,
     CAST(l_shipdate AS DATE) AS effective_at
-FROM lineitem WHERE l_quantity < 5""",
+FROM lineitem""",
     "m_requirement": """
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN c_nationkey + 100 END AS country_id,
-    CASE WHEN o_orderkey % 4 <> 0 THEN c_mktsegment END AS use_case,
-    CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 40 AS INTEGER) END AS payload_min_kg,
-    CASE WHEN o_orderkey % 11 = 0 THEN 8 END AS operating_hours_day,
-    CASE o_orderkey % 9 WHEN 0 THEN true WHEN 1 THEN false END AS manipulation_required,
-    CASE WHEN o_orderkey % 13 = 0 THEN 'SUPERVISED_AUTONOMY' END AS autonomy_required,
-    CASE WHEN o_orderkey % 3 = 1 OR o_orderkey % 12 = 5 THEN 'USD' END AS budget_currency,
-    CASE WHEN o_orderkey % 12 = 5 THEN CAST(1000 AS DOUBLE) END AS budget_min,
-    CASE WHEN o_orderkey % 3 = 1 THEN CAST(floor(o_totalprice / 10) AS DOUBLE) END AS budget_max,
-    CASE WHEN o_orderkey % 17 = 0 THEN CAST(o_orderdate AS DATE) END AS required_by,
-    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'BUY' WHEN '2' THEN 'RENT' WHEN '3' THEN 'RAAS'
-        WHEN '4' THEN 'UNKNOWN' WHEN '5' THEN 'FLEXIBLE' END AS preferred_transaction
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 1""",
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey + 100 END AS country_id,
+    CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS use_case,
+    CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 40 AS INTEGER) END AS payload_min_kg,
+    CASE WHEN c_custkey % 11 = 0 THEN 8 END AS operating_hours_day,
+    CASE c_custkey % 9 WHEN 0 THEN true WHEN 1 THEN false END AS manipulation_required,
+    CASE WHEN c_custkey % 13 = 0 THEN 'SUPERVISED_AUTONOMY' END AS autonomy_required,
+    CASE WHEN c_custkey % 3 = 1 OR c_custkey % 12 = 5 THEN 'USD' END AS budget_currency,
+    CASE WHEN c_custkey % 12 = 5 THEN CAST(1000 AS DOUBLE) END AS budget_min,
+    CASE WHEN c_custkey % 3 = 1 THEN CAST(floor((c_acctbal + 1000) * 4) AS DOUBLE) END AS budget_max,
+    CASE WHEN c_custkey % 17 = 0 THEN DATE '1996-01-01' + CAST(c_custkey % 1500 AS INTEGER) END AS required_by,
+    (['BUY', 'RENT', 'RAAS', 'UNKNOWN', 'FLEXIBLE'])[c_custkey % 5 + 1] AS preferred_transaction
+FROM customer""",
     "m_candidate": """
-SELECT doc_id AS id, source, 'ref-' || (doc_id % 300) AS external_ref,
+SELECT doc_id AS id, source, 'ref-' || (doc_id // 3) AS external_ref,
     CASE WHEN doc_id % 10 = 0 THEN 'Robot' ELSE upper(p_name) || ' Robot' END AS name,
     p_brand || ' Inc.' AS manufacturer,
     CASE WHEN doc_id % 97 = 5 THEN 'COMPONENT' ELSE 'ROBOT' END AS entity_type,
@@ -147,7 +146,7 @@ SELECT key, 'Source ' || key AS name, k % 4 <> 0 AS is_enabled,
     CASE WHEN k % 11 <> 0 THEN 'R. Viewer' END AS reviewed_by
 FROM (SELECT source AS key, min(doc_id) AS k FROM documents GROUP BY source) s""",
     "m_claim": """
-SELECT doc_id AS id, doc_id % 200 AS candidate_id, source, lang AS field_key,
+SELECT doc_id AS id, doc_id // 5 AS candidate_id, source, lang AS field_key,
     CASE WHEN doc_id % 9 <> 0 THEN CAST(n_chars % 3 AS VARCHAR) END AS claimed_value,
     'https://radar.example/' || doc_id AS evidence_url
 FROM documents""",

@@ -172,7 +172,7 @@ class Catalog:
 
     @cached_property
     def deployment(self) -> DataFrame:
-        rows = self.table("lineitem").filter(F.col("l_quantity") >= 49).groupBy("l_partkey", "l_suppkey").agg(
+        rows = self.table("lineitem").groupBy("l_partkey", "l_suppkey").agg(
             F.max("l_extendedprice").cast("decimal(16,2)").alias("contract_value")
         )
         return rows.select(
@@ -183,7 +183,7 @@ class Catalog:
     @cached_property
     def fit(self) -> DataFrame:
         rows = (
-            self.table("lineitem").filter(F.col("l_quantity") > 30)
+            self.table("lineitem")
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .groupBy("l_partkey", "c_mktsegment").agg(F.max("l_discount").alias("discount"))
@@ -218,7 +218,7 @@ class Catalog:
     def image(self) -> DataFrame:
         key = F.col("page_id")
         return self.table("pages").select(
-            key.alias("id"), (key % 100).alias("product_id"), F.col("url").alias("image_url"),
+            key.alias("id"), F.floor(key / 4).alias("product_id"), F.col("url").alias("image_url"),
             F.when(key % 5 == 0, "UNVERIFIED").otherwise("VERIFIED").alias("identity_status"),
             _cycle(key, "PERMITTED", "ATTRIBUTION_REQUIRED", "UNKNOWN", "RESTRICTED").alias("rights_status"),
             F.when(key % 3 == 0, "OFFICIAL_MANUFACTURER_MEDIA").otherwise("NONE").alias("usage_basis"),
@@ -233,14 +233,14 @@ class Catalog:
     def hero(self) -> DataFrame:
         """Free-text hero image column of a product, kept apart because few products have one."""
         key = F.col("page_id")
-        return self.table("pages").filter(key % 3 != 1).groupBy((key % 100).alias("product_id")).agg(
+        return self.table("pages").filter(key % 3 != 1).groupBy(F.floor(key / 4).alias("product_id")).agg(
             F.concat(F.max("url"), F.lit(" ")).alias("hero_image_url")
         )
 
     @cached_property
     def status_history(self) -> DataFrame:
         return (
-            self.table("lineitem").filter(F.col("l_quantity") < 5)
+            self.table("lineitem")
             .select("l_partkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("effective_at")).distinct()
             .select(
                 F.col("l_partkey").alias("product_id"),
@@ -260,12 +260,9 @@ class Catalog:
 
     @cached_property
     def requirement(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        digit = F.substring("o_orderpriority", 1, 1)
-        rows = self.table("orders").filter(key % 50 == 1).join(
-            self.table("customer"), F.col("o_custkey") == F.col("c_custkey")
-        )
-        return rows.select(
+        """What each customer asks for; their orders are what they submit later."""
+        key = F.col("c_custkey")
+        return self.table("customer").select(
             key.alias("id"),
             _null_if(key % 3 == 0, F.col("c_nationkey") + 100).alias("country_id"),
             _null_if(key % 4 == 0, F.col("c_mktsegment")).alias("use_case"),
@@ -275,9 +272,9 @@ class Catalog:
             F.when(key % 13 == 0, "SUPERVISED_AUTONOMY").alias("autonomy_required"),
             F.when((key % 3 == 1) | (key % 12 == 5), "USD").alias("budget_currency"),
             F.when(key % 12 == 5, F.lit(1000.0)).alias("budget_min"),
-            F.when(key % 3 == 1, F.floor(F.col("o_totalprice") / 10).cast("double")).alias("budget_max"),
-            F.when(key % 17 == 0, F.col("o_orderdate").cast("date")).alias("required_by"),
-            vocab.lookup(digit, {"1": "BUY", "2": "RENT", "3": "RAAS", "4": "UNKNOWN", "5": "FLEXIBLE"}, None).alias("preferred_transaction"),
+            F.when(key % 3 == 1, F.floor((F.col("c_acctbal") + 1000) * 4).cast("double")).alias("budget_max"),
+            F.when(key % 17 == 0, F.date_add(F.lit("1996-01-01").cast("date"), (key % 1500).cast("int"))).alias("required_by"),
+            _cycle(key, "BUY", "RENT", "RAAS", "UNKNOWN", "FLEXIBLE").alias("preferred_transaction"),
         )
 
     # ---- discovery ---------------------------------------------------------------------
@@ -288,7 +285,7 @@ class Catalog:
         named = F.when(key % 10 == 0, F.lit("Robot")).otherwise(F.concat(F.upper("p_name"), F.lit(" Robot")))
         state = _cycle(key, "NOT_TRACED", "TRACE_CONFIRMED", "TRACE_PARTIAL", "TRACE_FAILED", "TRACE_CONFIRMED")
         return self.table("documents").join(self.table("part"), F.col("p_partkey") == key).select(
-            key.alias("id"), "source", F.concat(F.lit("ref-"), (key % 300).cast("string")).alias("external_ref"),
+            key.alias("id"), "source", F.concat(F.lit("ref-"), F.floor(key / 3).cast("string")).alias("external_ref"),
             named.alias("name"), F.concat(F.col("p_brand"), F.lit(" Inc.")).alias("manufacturer"),
             F.when(key % 97 == 5, "COMPONENT").otherwise("ROBOT").alias("entity_type"),
             F.concat(F.lit("https://radar.example/"), key.cast("string")).alias("discovery_url"),
@@ -317,7 +314,7 @@ class Catalog:
     def claim(self) -> DataFrame:
         key = F.col("doc_id")
         return self.table("documents").select(
-            key.alias("id"), (key % 200).alias("candidate_id"), "source", F.col("lang").alias("field_key"),
+            key.alias("id"), F.floor(key / 5).alias("candidate_id"), "source", F.col("lang").alias("field_key"),
             _null_if(key % 9 == 0, (F.col("n_chars") % 3).cast("string")).alias("claimed_value"),
             F.concat(F.lit("https://radar.example/"), key.cast("string")).alias("evidence_url"),
         )

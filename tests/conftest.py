@@ -6,8 +6,8 @@ from tests.support import duck, spark_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = spark_session()
+def spark(tmp_path_factory):
+    session = spark_session(folder=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

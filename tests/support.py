@@ -6,19 +6,22 @@ import datetime as dt
 import decimal
 import glob
 import os
+import tempfile
 import time
 
 import duckdb
 
 
-def spark_session(cpus: int = 8):
+def spark_session(cpus: int = 8, folder: str | None = None):
+    """A local session; steps are stored in `folder`, or where the environment says."""
     from pyspark.sql import SparkSession
 
+    folder = folder or os.environ.get("CHECK_STAGE_DIR") or tempfile.mkdtemp(prefix="run-")
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName("lumenstock-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
-        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.enabled", "true").config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
 

@@ -28,3 +28,9 @@ def test_first_per_key_breaks_ties_by_order(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "z"), (1, 1, "a"), (2, 9, "q")], "k int, o int, v string")
     got = {(r.k, r.v) for r in first_per_key(df, ["k"], [F.col("o"), F.col("v")], ["v"]).collect()}
     assert got == {(1, "a"), (2, "q")}
+
+
+def test_descending_text(spark):
+    df = spark.createDataFrame([("a", 1), ("c", 2), ("b", 3), ("c", 0)], "v string, id int")
+    got = spread_rank(df, [(F.col("v"), True), F.col("id")]).orderBy("rank").collect()
+    assert [(r.v, r.id) for r in got] == [("c", 0), ("c", 2), ("b", 3), ("a", 1)]

@@ -32,6 +32,26 @@ def test_cycle_ends(spark):
     assert rows == {(1, 1), (1, 2), (2, 2), (2, 1)}
 
 
+def test_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, "R", str(i)) for i in range(23)] + [(50, 99, "R", "x"), (60, 61, "R", "y"), (61, 62, "R", "z"), (62, 61, "R", "w")],
+                                  "id int, parent_id int, type string, code string")
+    rows = {}
+    for r in regions.region_closure(chain).collect():
+        rows.setdefault(r.region_id, {})[r.ancestor_id] = r.depth
+    assert all(rows[i] == {i - d: d for d in range(i + 1)} for i in range(23))
+    assert rows[50] == {50: 0, 99: 1} and rows[60] == {60: 0, 61: 1, 62: 2} and rows[62] == {62: 0, 61: 1}
+
+
+def test_newest_by_time_of_day(spark):
+    import datetime
+
+    at = lambda h: datetime.datetime(2026, 1, 1, h)
+    prices = spark.createDataFrame([price("b")[:-1] + (at(9),), price("a")[:-1] + (at(8),)], PRICE.replace("updated_at date", "updated_at timestamp"))
+    offer = spark.createDataFrame([("a", 1, None, 7, 2, "PURCHASE", "AVAILABLE", True)], OFFER)
+    assert offers.commercial_offer(offer, prices, region(spark)).first().pricing_offer_id == "b"
+    assert offers.headline_price(prices).first().pricing_id == "b"
+
+
 def test_unknown_code_applies_nowhere(spark):
     reg = region(spark)
     rows = regions.applicable_regions(regions.region_closure(reg), reg)

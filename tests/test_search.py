@@ -53,6 +53,15 @@ def test_unknown_sort_key_is_refused(key):
         search.order_by(key)
 
 
+@pytest.mark.parametrize("key", ["name", "-name", "price", "-price", "payload", "-payload", "newest", "-newest"])
+def test_every_sort_key_ranks(spark, key):
+    rows = [("b", "s1", 1.0, 2.0, "2026-01-01"), ("a", "s2", None, 1.0, "2026-01-03"), ("b", "s0", 3.0, None, "2026-01-02")]
+    df = spark.createDataFrame(rows, "name string, slug string, lowest_purchase_price double, payload_kg double, created_on string")
+    df = df.withColumn("created_on", df.created_on.cast("date"))
+    ranked = [r.slug for r in search.sort_catalogue(df, key).orderBy("rank").collect()]
+    assert ranked == [r.slug for r in df.orderBy(*search.order_by(key)).collect()]
+
+
 def test_empty_region_set_matches_nothing(spark):
     offers = spark.createDataFrame([(1, "PURCHASE", "AVAILABLE", None, True)], "product_id int, transaction_type string, availability_status string, region_id int, is_current boolean")
     nowhere = spark.createDataFrame([], "region_id int, applicable_id int")
