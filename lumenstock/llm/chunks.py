@@ -58,12 +58,12 @@ def literal(key) -> str:
 class Encodings(dict):
     """Values by chunk key. `encode` maps a list of chunks to a list of values; call `learn` before looking up."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
+    def __init__(self, encode: Callable[[list[str]], list], size: int = GENERATION):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.size, self.old = encode, size, {}
 
     def learn(self, keys_of_texts: list[list]) -> None:
-        if len(self) > GENERATION:
+        if len(self) > self.size:
             self.old = dict(self)
             self.clear()
         new = set()
@@ -123,7 +123,7 @@ class _Library:
         return array.array("I", [t.id for t in tokens]).tobytes()
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        if len(self.parts) > GENERATION:
+        if len(self.parts) > 2 * GENERATION:
             self.parts.clear()
         parts, one, out = self.parts, self._one, []
         for c in chunks:
@@ -155,7 +155,7 @@ def encode_texts(learned: Encodings, texts: list[str]):
 @functools.cache
 def library_encodings(path: str) -> Encodings:
     """Ids by chunk key, from a vocabulary of the tokenizers library."""
-    return Encodings(_Library(path).encode)
+    return Encodings(_Library(path).encode, 2 * GENERATION)
 
 
 def default_path(name: str) -> str:
