@@ -25,10 +25,10 @@ def region_closure(region: DataFrame) -> DataFrame:
         met = paths.join(on, F.col("next") == F.col("_id"), "left")
         # A parent that has no row of its own is still an ancestor, and the last one.
         more = F.coalesce("_more", F.when(F.col("next").isNotNull(), F.array("next")), F.array().cast("array<long>"))
-        met = met.select("region_id", "path", "_next", more.alias("_more"))
-        fresh = F.filter("_more", lambda x: ~F.array_contains("path", x))
-        ended = F.size(fresh) < F.size("_more")
-        paths = materialize(met.select("region_id", F.concat("path", fresh).alias("path"), F.when(~ended, F.col("_next")).alias("next")), "paths")
+        met = met.select("region_id", F.col("path").alias("_own"), "_next", more.alias("_more"))
+        met = met.withColumn("_new", F.filter("_more", lambda x: ~F.array_contains("_own", x)))
+        ended = F.size("_new") < F.size("_more")
+        paths = materialize(met.select("region_id", F.concat("_own", "_new").alias("path"), F.when(~ended, F.col("_next")).alias("next")), "paths")
         if paths.filter("next IS NOT NULL").isEmpty():
             return paths.select("region_id", F.posexplode("path").alias("depth", "ancestor_id")).select("region_id", "ancestor_id", "depth")
 

@@ -36,6 +36,20 @@ def test_slugs_fill_gaps_in_order(spark):
     assert got == {1: "x-4", 2: "x-5", 3: "x-6", 4: "x-7", 9: "y", 10: "x-2"}
 
 
+def test_new_makers_get_free_slugs_and_share_by_key(spark):
+    people = [(i, n, m, "NEW_ENTITY", None, "TRACE_CONFIRMED", "https://x", "R", "ROBOT", "READY_FOR_PROMOTION") for i, n, m in
+              [(1, "One", "Zed Robotics"), (2, "Two", "Acme Labs"), (3, "Three", "Acme Inc"), (4, "Four", "Known Inc")]]
+    people = spark.createDataFrame(people, "id long, name string, manufacturer string, identity_status string, possible_product_id long, trace_state string, "
+                                           "trace_url string, trace_verified_by string, entity_type string, status string")
+    claims = spark.createDataFrame([], "id string, candidate_id long, field_key string, claimed_value string, unit string, claim_status string, evidence_url string")
+    products = spark.createDataFrame([], "id long, slug string, name string, " + ", ".join(f"{f} double" for f in pr.APPROVED_FIELDS))
+    makers = spark.createDataFrame([("zed-robotics", "Completely Different"), ("known", "Known")], "slug string, name string")
+    signed = spark.createDataFrame([(i, "R") for i in range(1, 5)], "candidate_id long, approved_by string")
+    written = pr.promote(people, claims, products, makers, signed)
+    assert {(r.slug, r.name) for r in written["makers"].collect()} == {("zed-robotics-2", "Zed Robotics"), ("acme-labs", "Acme Labs")}
+    assert {r.slug: r.manufacturer_slug for r in written["products"].collect()} == {"one": "zed-robotics-2", "two": "acme-labs", "three": "acme-labs", "four": "known"}
+
+
 def test_source_registration_needs_a_person_and_is_idempotent(spark):
     none = spark.createDataFrame([], "key string, name string, is_enabled boolean, tos_status string, robots_status string, reviewed_at date, reviewed_by string")
     with pytest.raises(ValueError):
