@@ -8,7 +8,9 @@ most `block` vectors, and every pair of blocks is a task that multiplies two mat
 returns the number of partners of each vector and a spanning forest of its links, never its pairs.
 
 Equal vectors are one from the start, with their number, so copies cost nothing and a crowded cell is split by blocks.
-Pivots are a sample (at most `max_pivots`, spread by a hash); any choice gives the same result.
+Pivots are a sample (for each length at most `max_pivots`, spread by a hash), of which those closer than APART to an
+earlier one are left out: scaled copies have one direction, and a plane between two pivots a rounding apart is noise.
+Any choice of pivots APART from each other gives the same result.
 
 Vectors that are null, empty or zero, or have null or non-finite components link with nothing, and vectors of
 different lengths do not link. Rows without an id are left out; rows that repeat an id are vectors of their own. An
@@ -21,11 +23,13 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import connected_components, stored
 
-SLACK = 1e-9  # of distances: rounding must not lose a copy
+SLACK = 1e-6  # of distances: rounding must not lose a copy; near zero the root of 2 - 2cos is off by about 1e-8
+APART = 1e-3  # least distance of two pivots, so that the plane between them is known far better than SLACK
 
 
 def _units(batch_column) -> np.ndarray:
@@ -35,6 +39,15 @@ def _units(batch_column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _apart(p: np.ndarray) -> np.ndarray:
+    """The pivots, in order, without those closer than APART to one already taken."""
+    left, taken = np.arange(len(p)), []
+    while len(left):
+        taken.append(left[0])
+        left = left[np.linalg.norm(p[left] - p[left[0]], axis=1) >= APART]
+    return p[taken]
+
+
 def _exact(x: np.ndarray, y: np.ndarray) -> float:
     """The cosine with exactly rounded sums."""
     return math.fsum(x * y) / math.sqrt(math.fsum(x * x) * math.fsum(y * y))
@@ -57,9 +70,8 @@ def _cells(pivots: dict[int, np.ndarray], reach: float):
                     far = np.sqrt(np.maximum(2 - 2 * x @ p.T, 0))
                     home = far.argmin(1)
                     near = far[np.arange(len(x)), home]
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (far ** 2 - near[:, None] ** 2) / (2 * between[home])
-                    keep = (far <= near[:, None] + 2 * reach + SLACK) & ~(plane > reach + SLACK) & (np.arange(len(p))[None, :] < home[:, None])
+                    plane = far ** 2 - near[:, None] ** 2 <= (reach + SLACK) * 2 * between[home]
+                    keep = (far <= near[:, None] + 2 * reach + SLACK) & plane & (np.arange(len(p))[None, :] < home[:, None])
                     for k, i in enumerate(cut):
                         others = np.flatnonzero(keep[k])
                         rows.append((int(i), int(home[k]), float(near[k]), others.tolist(), far[k][others].tolist()))
@@ -149,13 +161,17 @@ def metric_links(vectors: DataFrame, threshold: float = 0.9, per_cell: int = 409
     distinct = stored(checked.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", "vector"), "vectors")
     classes = checked.join(distinct, "vector", "left").select("vec_id", "rep", "copies")
 
-    wanted = max(4, min(max_pivots, distinct.count() // per_cell))
-    sample = distinct.withColumn("size", F.octet_length("vector")).withColumn("r", F.row_number().over(_by_size())).where(F.col("r") <= wanted).select("vector").collect()
+    sized = distinct.withColumn("size", F.octet_length("vector")).withColumn("hash", F.xxhash64("vector"))
+    first = F.row_number().over(W.partitionBy("size").orderBy("hash", "rep"))
+    sample = sized.withColumn("r", first).where(F.col("r") <= 4).select("size", "vector").collect()
+    for size, n in sized.groupBy("size").count().where(F.col("count") >= 5 * per_cell).collect():
+        more = sized.where(F.col("size") == size).orderBy("hash", "rep").limit(min(max_pivots, n // per_cell))
+        sample = [v for v in sample if v[0] != size] + more.select("size", "vector").collect()
     pivots: dict[int, list] = {}
-    for (v,) in sample:
-        pivots.setdefault(len(v) // 8, []).append(bytes(v))
+    for size, v in sample:
+        pivots.setdefault(size // 8, []).append(bytes(v))
     reach = math.sqrt(2 - 2 * threshold)
-    table = {d: _units(v) for d, v in pivots.items()}
+    table = {d: _apart(_units(v)) for d, v in pivots.items()}
     placed = stored(distinct.mapInArrow(_cells(table, reach), "rep long, copies long, vector binary, size int, home int, near double, others array<int>, far array<double>"), "cells")
     radius = placed.groupBy("size", F.col("home").alias("cell")).agg(F.max("near").alias("radius"), F.count(F.lit(1)).alias("at_home"))
     spread = placed.select("rep", "copies", "vector", "size", F.explode(F.arrays_zip("others", "far")).alias("o")).select("rep", "copies", "vector", "size", F.col("o.others").alias("cell"), F.col("o.far").alias("far"))
@@ -172,12 +188,6 @@ def metric_links(vectors: DataFrame, threshold: float = 0.9, per_cell: int = 409
     return classes, stored(found, "vector-links")
 
 
-def _by_size():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("size").orderBy(F.xxhash64("vector"), "rep")
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, **options) -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id, kept."""
     classes, found = metric_links(vectors, threshold, **options)

@@ -121,3 +121,17 @@ def test_vectors_at_the_threshold(spark):
     got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
     assert got[3] == 0 and got[1] == got[2] == int(cosine(rows[0][1], rows[1][1]) >= 0.9)
+
+
+def test_pivots_of_one_direction(spark):
+    """Scaled copies, and copies one rounding apart, are distinct rows of one direction; none of their links may be lost."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=12)
+    copies = [base * f for f in rng.uniform(0.1, 9, 200)] + [np.nextafter(base, rng.choice([-9.0, 9.0], 12)) for _ in range(200)]
+    rows = [(i, list(map(float, v))) for i, v in enumerate(copies + list(base + rng.normal(size=(200, 12)) * 0.3))]
+    units = np.array([np.array(v) / np.linalg.norm(v) for _, v in rows])
+    links = units @ units.T >= 0.9
+    np.fill_diagonal(links, False)
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_cell=4, block=64).collect()}
+    assert [got[i].n_links for i, _ in rows] == links.sum(1).tolist()
+    assert {got[i].component_id for i in range(400)} == {0}
