@@ -3,7 +3,9 @@
 A tokenizer cuts the page into tags and text; a tree builder supplies the tags authors leave out (`p`, `li`, `dt`,
 `option`, table rows, sections and cells, the end of everything open) and ignores stray end tags; visibility rules drop
 what a browser does not show (head, scripts, styles, templates, fallback content, `hidden`, `display: none`,
-`visibility: hidden`, closed details, hidden inputs). The renderer then lays out blocks with collapsed margins, keeps
+`visibility: hidden`, closed details, hidden inputs, options not selected, drawing definitions, annotations of
+formulas). The head ends at the first tag or text that cannot stand in it. In `svg` and `math` tags may close
+themselves, and a tag of HTML ends them. The renderer then lays out blocks with collapsed margins, keeps
 `pre`, marks and indents list items, and aligns table cells in columns.
 
 Null and empty pages give an empty text. Rows without an id are left out; rows that repeat an id are rendered each.
@@ -22,7 +24,12 @@ from pyspark.sql import functions as F
 DEEPEST = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea map meta link base".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist map meta link base".split())
+UNSEEN_FOREIGN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+# Tags of HTML that end open svg and math elements, and the foreign elements that hold HTML.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table caption thead tbody tfoot tr td th ul".split())
 MARGIN = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 ENDS_P = BLOCK - frozenset("html body option optgroup caption thead tbody tfoot tr td th".split())
@@ -30,18 +37,22 @@ ROWS = frozenset("thead tbody tfoot".split())
 # An opening tag ends these open elements, looking up to a boundary.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
            "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), **{r: ({"tr", "td", "th", "caption", "thead", "tbody", "tfoot"}, {"table"}) for r in ROWS}}
-SCOPE = frozenset("table td th caption html button object".split())
+SCOPE = frozenset("table td th caption html button object foreignobject".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))+")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "foreign", "holds")
 
-    def __init__(self, name: str, attributes: dict | None = None):
+    def __init__(self, name: str, attributes: dict | None = None, foreign: str = ""):
         self.name, self.attributes, self.children = name, attributes or {}, []
+        # What the element is, and what it holds: "" for HTML, "svg" (text is not drawn), "text" (of a drawing) or "math".
+        self.foreign = foreign
+        self.holds = "" if foreign and name in HOLDS_HTML else "text" if foreign == "svg" and name == "text" else foreign
 
 
 def parse(page: str) -> Node:
@@ -49,6 +60,7 @@ def parse(page: str) -> Node:
     root = Node("html")
     stack = [root]
     at = 0
+    started = False  # whether anything came that only a body or a head's end may hold
 
     def close(names, boundary) -> bool:
         for i in range(len(stack) - 1, 0, -1):
@@ -70,9 +82,16 @@ def parse(page: str) -> Node:
         name = m[2]
         if name is None:
             if m[0][:2] not in ("<!", "<?") or m[0] == "<":
-                stack[-1].children.append(html.unescape(m[0]))
+                if m[0].strip(" \t\n\r\f"):
+                    started = True
+                    if stack[-1].name == "head":
+                        stack.pop()
+                if stack[-1].holds != "svg":
+                    stack[-1].children.append(html.unescape(m[0]))
             continue
         name = name.lower()
+        if stack[-1].name == "head" and (name in ("body", "html", "br") if m[1] else name not in IN_HEAD and name not in ("html", "head")):
+            stack.pop()
         if m[1]:
             if name in ("br", "p") and not any(n.name == name for n in stack):
                 stack[-1].children.append(Node(name))
@@ -82,7 +101,28 @@ def parse(page: str) -> Node:
         attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])}
         if name in ("html", "body"):
             root.attributes |= attributes
+            started = started or name == "body"
+            continue
+        if stack[-1].holds and (name in BREAKOUT or name == "font" and attributes.keys() & {"color", "face", "size"}):
+            while stack[-1].holds:
+                stack.pop()
+        foreign = stack[-1].holds or (name if name in ("svg", "math") else "")
+        if foreign:
+            started = True
+            node = Node(name, attributes, "svg" if name == "svg" else foreign)
+            if m[3].rstrip().endswith("/"):
+                stack[-1].children.append(node)
+            else:
+                push(node)
             continue
+        if name == "head":
+            if started or len(stack) > 1:
+                continue  # a head after the start of the body is ignored
+            started = True
+        elif name not in IN_HEAD:
+            started = True
+        if name in ("select", "input", "textarea"):
+            close({"select"}, SCOPE)
         if name in ENDS_P:
             close({"p"}, SCOPE)
         if name in IMPLIED:
@@ -102,7 +142,10 @@ def parse(page: str) -> Node:
             stack[-1].children.append(node)
         elif name in RAW:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            node.children.append(page[at:end.start() if end else len(page)])
+            text = page[at:end.start() if end else len(page)]
+            if name == "textarea":
+                text = html.unescape(re.sub(r"\A\r?\n", "", text))
+            node.children.append(text)
             stack[-1].children.append(node)
             at = end.end() if end else len(page)
         else:
@@ -110,10 +153,64 @@ def parse(page: str) -> Node:
     return root
 
 
+def _style(style: str) -> dict[str, str]:
+    """Property and value of each declaration; the last one counts, and an important one before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in _DECLARATION.findall(_COMMENT.sub(" ", style.lower())):
+        name, colon, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        name, value = name.strip(), value.strip()
+        if colon and value and bool(mark) >= found.get(name, (False, ""))[0]:
+            found[name] = bool(mark), value
+    return {name: value for name, (_, value) in found.items()}
+
+
 def seen(node: Node) -> bool:
-    if node.name in UNSEEN or "hidden" in node.attributes:
+    if node.name in UNSEEN or "hidden" in node.attributes or node.foreign and node.name in UNSEEN_FOREIGN:
         return False
-    return not _UNSEEN_STYLE.search(node.attributes.get("style", "").lower())
+    if "style" not in node.attributes:
+        return True
+    style = _style(node.attributes["style"])
+    return style.get("display") != "none" and style.get("visibility") not in ("hidden", "collapse")
+
+
+def _shown_options(select: Node) -> list[str]:
+    """A drop-down shows its selected option, or the first that can be chosen; a list shows all."""
+    size = select.attributes.get("size", "")
+    every = "multiple" in select.attributes or bool(re.fullmatch(r"\s*\d+\s*", size)) and int(size) > 1
+    lines, choice, first, open_nodes = [], None, None, [(select, False)]
+    while open_nodes:
+        node, disabled = open_nodes.pop()
+        off = disabled or "disabled" in node.attributes and node is not select
+        shown = seen(node)
+        if node.name == "option":
+            text = _BLANK.sub(" ", node.attributes.get("label") or _all_text(node)).strip()
+            if shown:
+                lines.append(text)
+            if "selected" in node.attributes:
+                choice = text
+            if first is None and not off:
+                first = text
+            continue
+        if every and not shown and node is not select:
+            continue
+        if node.name == "optgroup":
+            lines.append(_BLANK.sub(" ", node.attributes.get("label", "")).strip())
+        open_nodes += [(c, off) for c in reversed(node.children) if not isinstance(c, str)]
+    if every:
+        return [t for t in lines if t]
+    return [choice if choice is not None else first or ""]
+
+
+def _all_text(node: Node) -> str:
+    out, left = [], [node]
+    while left:
+        n = left.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.name not in ("script", "style", "template"):
+            left += reversed(n.children)
+    return "".join(out)
 
 
 class _Lines:
@@ -196,6 +293,18 @@ def _lay(node: Node, out: _Lines, kept: bool = False) -> None:
         elif name == "input":
             if child.attributes.get("type", "text").lower() in ("submit", "reset", "button"):
                 out.text(child.attributes.get("value", ""), False)
+        elif name == "select":
+            first, *more = _shown_options(child) or [""]
+            out.text(first, False)
+            for text in more:
+                out.brk()
+                out.text(text, False)
+        elif name == "textarea":
+            _lay(child, out, True)
+        elif name == "text" and child.foreign == "svg":  # every text of a drawing has a place of its own
+            out.block(False)
+            _lay(child, out, kept)
+            out.block(False)
         elif name == "table":
             out.block(True)
             out.box(_table(child))

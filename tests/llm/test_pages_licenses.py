@@ -33,6 +33,27 @@ def test_render(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>t</title><body><p>hi", "hi"),
+    ("<html><head><meta charset=x><title>t</title><div>a</div>b", "a\nb"),
+    ("<head><title>t</title> text <p>b", "text\n\nb"),
+    ("<head><script>x</script></body>after", "after"),
+    ("<head><template><p>no</template><noscript><p>no</noscript><link><p>yes", "yes"),
+    ("<p>a<head>b</head>c", "abc"),
+    ("<p style='-webkit-backface-visibility: hidden'>a<p style='--display:none'>b<p style='background:url(x;display:none)'>c", "a\n\nb\n\nc"),
+    ("a<p style='color: red; DISPLAY : none !important; display: block'>b<p style='/* x */visibility:collapse'>c<p style='display:none;display:block'>d", "a\n\nd"),
+    ("<svg><title/><defs><text>no</text></defs><path d='m'/><text>Jan</text> noise <text>F<tspan>eb</tspan></text></svg>end", "Jan\nFeb\nend"),
+    ("<svg><defs><p>out", "out"),
+    ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"),
+    ("<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></semantics></math>", "x=2"),
+    ("<textarea>\nl1 &amp;\n  l2</textarea>", "l1 &\n  l2"),
+    ("<select><option>a<option selected>b <b>c</b><option>d</select>", "b c"),
+    ("<select><option disabled>a<option>b</select><select multiple><option>x<option hidden>y<option>z</select>", "bx\nz"),
+])
+def test_visible_text_is_kept(page, text):
+    assert render(page) == text
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<table><tr><td>" * 400 + "x").strip() == "x"
