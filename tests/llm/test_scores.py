@@ -51,6 +51,34 @@ def test_segments_are_the_maximal_ones():
         assert [round(x[2], 6) for x in sorted(got)] == [round(x[2], 6) for x in split(0, len(s))]
 
 
+def test_segments_over_any_scores():
+    rng = random.Random(2)
+    for _ in range(300):
+        s = [rng.randrange(-20, 13) / 4 for _ in range(rng.randrange(1, 14))]
+
+        def split(low, high):
+            best = max(((sum(s[a:b]), -(b - a), -a) for a, b in itertools.combinations(range(low, high + 1), 2)), default=(0, 0, 0))
+            if best[0] <= 1e-9:
+                return []
+            a, b = -best[2], -best[2] - best[1]
+            return split(low, a) + [(a, b - 1, best[0])] + split(b, high)
+
+        assert [round(x[2], 6) for x in sorted(toxicity.segments(list(enumerate(s))))] == [round(x[2], 6) for x in split(0, len(s))]
+
+
+def test_every_word_has_its_own_score(spark):
+    """Mild words are not pushed down to the drift, clean words go below it, and a clean parent pulls its stems down."""
+    own = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")  # noqa: E731  a word of each text
+    rows = [(i, f"{own(i)} slur mild mild grobnest filler" if i % 2 == 0 else f"{own(i)} grobster mild filler" + " calm grobster" * 4) for i in range(400)]
+    marks = [(i, 1, int(i % 2 == 0)) for i, _ in rows]
+    words = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, marks)).words
+    assert -toxicity.DRIFT < words["mild"] < 0 and words["slur"] > 0
+    assert words["calm"] < -2 * toxicity.DRIFT
+    assert words["grobonly"] < -toxicity.DRIFT  # by its clean first letters
+    found = toxicity.scan("slur calm slur", words)[1]
+    assert [x[:2] for x in found] == [(0, 0), (2, 2)]
+
+
 def test_decay_solves_its_equation():
     scores = np.array([1.0, 2.5, 0.5])
     x = toxicity._decay(scores, 1000)
