@@ -9,7 +9,7 @@ themselves, and a tag of HTML ends them. The renderer then lays out blocks with
 `pre`, marks and indents list items, and aligns table cells in columns.
 
 Null and empty pages give an empty text. Rows without an id are left out; rows that repeat an id are rendered each.
-Elements nested deeper than DEEPEST are kept as text of the last one.
+Depth has no limit: the layout is of generators run from a stack, and open elements are looked up by name.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist map meta link base".split())
@@ -62,19 +61,27 @@ def parse(page: str) -> Node:
     at = 0
     started = False  # whether anything came that only a body or a head's end may hold
 
+    places: dict[str, list[int]] = {}  # of the open elements by name, without the root
+
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            places[node.name].pop()
+        del stack[i:]
+
+    def last(names) -> int:
+        return max([places[n][-1] for n in names if places.get(n)], default=0)
+
     def close(names, boundary) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return True
-            if stack[i].name in boundary:
-                return False
-        return False
+        i = last(names)
+        if not i or i < last(boundary):
+            return False
+        cut(i)
+        return True
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        places.setdefault(node.name, []).append(len(stack))
+        stack.append(node)
 
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -85,15 +92,15 @@ def parse(page: str) -> Node:
                 if m[0].strip(" \t\n\r\f"):
                     started = True
                     if stack[-1].name == "head":
-                        stack.pop()
+                        cut(len(stack) - 1)
                 if stack[-1].holds != "svg":
                     stack[-1].children.append(html.unescape(m[0]))
             continue
         name = name.lower()
         if stack[-1].name == "head" and (name in ("body", "html", "br") if m[1] else name not in IN_HEAD and name not in ("html", "head")):
-            stack.pop()
+            cut(len(stack) - 1)
         if m[1]:
-            if name in ("br", "p") and not any(n.name == name for n in stack):
+            if name in ("br", "p") and not places.get(name):
                 stack[-1].children.append(Node(name))
             elif name not in ("html", "body"):
                 close({name}, SCOPE - {name} if name not in ("table", *ROWS, "tr") else {"table"} - {name})
@@ -105,7 +112,7 @@ def parse(page: str) -> Node:
             continue
         if stack[-1].holds and (name in BREAKOUT or name == "font" and attributes.keys() & {"color", "face", "size"}):
             while stack[-1].holds:
-                stack.pop()
+                cut(len(stack) - 1)
         foreign = stack[-1].holds or (name if name in ("svg", "math") else "")
         if foreign:
             started = True
@@ -129,14 +136,13 @@ def parse(page: str) -> Node:
             while close(*IMPLIED[name]):
                 pass
         if name in ("td", "th", "tr", *ROWS):
-            inside = [n.name for n in stack]
-            table = len(inside) - 1 - inside[::-1].index("table") if "table" in inside else None
-            if table is None:
+            table = last(("table",))
+            if not table:
                 continue  # a cell outside a table is only its text
-            if name in ("td", "th") and "tr" not in inside[table:]:
+            if name in ("td", "th") and last(("tr",)) < table:
                 push(Node("tr"))
         elif re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack[-1].name):
-            stack.pop()
+            cut(len(stack) - 1)
         node = Node(name, attributes)
         if name in VOID:
             stack[-1].children.append(node)
@@ -273,7 +279,22 @@ def _width(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else not unicodedata.combining(c) for c in text) if not text.isascii() else len(text)
 
 
-def _lay(node: Node, out: _Lines, kept: bool = False) -> None:
+def _run(step):
+    """The result of a generator that yields the steps it waits for; the steps are kept on a stack, not in calls."""
+    waiting, value = [step], None
+    while waiting:
+        try:
+            step = waiting[-1].send(value)
+        except StopIteration as end:
+            waiting.pop()
+            value = end.value
+        else:
+            waiting.append(step)
+            value = None
+    return value
+
+
+def _lay(node: Node, out: _Lines, kept: bool = False):
     number = int(node.attributes["start"]) if node.name == "ol" and re.fullmatch(r"-?\d{1,9}", node.attributes.get("start", "")) else 1
     closed = node.name == "details" and "open" not in node.attributes
     for child in node.children:
@@ -300,46 +321,46 @@ def _lay(node: Node, out: _Lines, kept: bool = False) -> None:
                 out.brk()
                 out.text(text, False)
         elif name == "textarea":
-            _lay(child, out, True)
+            yield _lay(child, out, True)
         elif name == "text" and child.foreign == "svg":  # every text of a drawing has a place of its own
             out.block(False)
-            _lay(child, out, kept)
+            yield _lay(child, out, kept)
             out.block(False)
         elif name == "table":
             out.block(True)
-            out.box(_table(child))
+            out.box((yield _table(child)))
             out.block(True)
         elif name == "li":
             out.block(False)
             mark = f"{number}. " if node.name == "ol" else "- "
             number += 1
-            _indented(child, out, mark, kept)
+            yield _indented(child, out, mark, kept)
         elif name in ("blockquote", "dd"):
             out.block(name in MARGIN)
-            _indented(child, out, "  ", kept)
+            yield _indented(child, out, "  ", kept)
             out.block(name in MARGIN)
         elif name in BLOCK:
             margin = name in MARGIN and not (name in ("ul", "ol", "menu") and node.name == "li")
             out.block(margin)
-            _lay(child, out, kept or name == "pre")
+            yield _lay(child, out, kept or name == "pre")
             out.block(margin)
         else:
-            _lay(child, out, kept)
+            yield _lay(child, out, kept)
 
 
-def _indented(node: Node, out: _Lines, mark: str, kept: bool) -> None:
+def _indented(node: Node, out: _Lines, mark: str, kept: bool):
     inner = _Lines()
-    _lay(node, inner, kept)
+    yield _lay(node, inner, kept)
     lines = inner.done()
     out.box([(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(lines)])
     out.block(False)
 
 
-def _table(table: Node) -> list[str]:
+def _table(table: Node):
     """Rows with their cells in aligned columns, two spaces apart; captions and stray text first."""
     captions, rows = [], []
 
-    def gather(node: Node) -> None:
+    def gather(node: Node):
         for child in node.children:
             if isinstance(child, str):
                 captions.extend([_BLANK.sub(" ", child).strip()] if child.strip(" \t\n\r\f") else [])
@@ -349,15 +370,15 @@ def _table(table: Node) -> list[str]:
                 rows.append([c for c in child.children if not isinstance(c, str) and c.name in ("td", "th") and seen(c)])
                 rest = Node("tr")  # what stands in a row outside its cells
                 rest.children = [c for c in child.children if isinstance(c, str) or c.name not in ("td", "th")]
-                gather(rest)
+                yield gather(rest)
             elif child.name in ROWS:
-                gather(child)
+                yield gather(child)
             else:
                 inner = _Lines()
-                _lay_one(child, inner)
+                yield _lay_one(child, inner)
                 captions.extend(inner.done())
 
-    gather(table)
+    yield gather(table)
     grid: list[list[tuple[int, int, list[str]]]] = []  # (column, span, lines)
     taken: dict[int, int] = {}
     for cells in rows:
@@ -367,7 +388,7 @@ def _table(table: Node) -> list[str]:
                 column += 1
             span = min(_count(cell.attributes.get("colspan")), 100)
             inner = _Lines()
-            _lay(cell, inner)
+            yield _lay(cell, inner)
             line.append((column, span, inner.done()))
             for c in range(column, column + span):
                 taken[c] = _count(cell.attributes.get("rowspan"))
@@ -396,10 +417,10 @@ def _table(table: Node) -> list[str]:
     return out
 
 
-def _lay_one(node: Node, out: _Lines) -> None:
+def _lay_one(node: Node, out: _Lines):
     holder = Node("div")
     holder.children.append(node)
-    _lay(holder, out)
+    yield _lay(holder, out)
 
 
 def _count(value: str | None) -> int:
@@ -410,7 +431,7 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     out = _Lines()
-    _lay(parse(page), out)
+    _run(_lay(parse(page), out))
     return "\n".join(out.done())
 
 

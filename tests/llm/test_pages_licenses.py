@@ -61,6 +61,16 @@ def test_deep_and_long_pages():
     assert len(render("<" * 50_000)) == 50_000
 
 
+def test_depth_has_no_limit():
+    deep = "<font>" * 3000
+    for hidden in ("<div hidden>no</div>", "<template>no</template>", "<noscript>no</noscript>"):
+        assert render(deep + hidden + "yes") == "yes"
+    assert render(deep + "<table><tr><td>a<td>b<tr><td>c<td>d</table>") == "a  b\nc  d"
+    assert render("<div hidden>" + "<div>" * 200 + "</div>" * 200 + "no</div>yes") == "yes"
+    assert render("<ul><li>" * 400 + "x").endswith("x")
+    assert render("<b>" * 30_000 + "<p>a" * 3000).count("a") == 3000
+
+
 def test_page_table(spark):
     rows = [(1, "u", "<p>a", "x"), (2, None, None, None), (None, "u", "b", "y"), (1, "u", "<p>a", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
