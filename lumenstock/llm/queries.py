@@ -10,12 +10,15 @@ from .bpe import encoding_digests
 from .common import table
 from .exact_dedup import exact_duplicates
 from .html_text import page_texts
+from .lexical_search import ranked_search
 from .license_scan import license_scan
 from .metric_join import near_vectors
 from .ngram_join import links_and_components
 from .packing import pack
 from .quality import quality
 from .rans import token_digests
+from .sharding import shard_digests
+from .spelling import spelling_variants
 from .toxicity import toxicity
 
 
@@ -59,10 +62,22 @@ def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_matrix_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_metric_join, op2_pu_quality, op3_layout_text, op4_license_voting, op5_ngram_join, op6_byte_bpe, op7_exact_dedup,
-        op8_toxic_segments, op9_slack_packing, op10_rans_tokens)
+        op8_toxic_segments, op9_slack_packing, op10_rans_tokens, op11_limited_accumulators, op12_vector_trie, op13_matrix_shuffle)
 }
 
 SQL = {
@@ -70,4 +85,22 @@ SQL = {
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g USING (t)""",
+    "op11_limited_accumulators": r"""
+WITH lowered AS (
+  SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE doc_id IS NOT NULL),
+words AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM lowered),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+len AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len),
+norm AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM len, total),
+part AS (
+  SELECT item_id, doc_id, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS s
+  FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN norm USING (doc_id), total),
+scored AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM part GROUP BY ALL HAVING sum(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10""",
 }
