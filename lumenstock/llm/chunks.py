@@ -2,13 +2,15 @@
 
 Every boundary between a visible character and white space is also a boundary of the tokenizers used here, and no
 rule looks past it, so a chunk (white space, then visible characters) has the same ids in every text. A worker
-keeps the ids of chunks it has seen in two bounded generations and asks the library only for new ones.
+keeps the ids of chunks it has seen in two bounded generations and asks the library only for new ones. Special strings
+of a vocabulary in a text have the ids that the library gives them.
 """
 
 from __future__ import annotations
 
 import array
 import functools
+import gc
 import json
 import os
 import re
@@ -80,21 +82,23 @@ class Encodings(dict):
             self.update(zip(part, self.encode([literal(k) for k in part])))
 
 
-class _Library:
-    """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes; special strings are ordinary text.
+class Library(dict):
+    """Ids of chunks by the tokenizers library, as little-endian unsigned 32-bit bytes; a chunk is encoded when first asked for.
 
-    A chunk is cut before its trailing ASCII punctuation, which the patterns never join to a letter or digit; so a word
-    is encoded once and not once with every mark. A word of letters is one piece for these vocabularies and goes
-    straight to the library's model, after the same normalisation and byte mapping; all else takes the whole way.
+    A chunk is cut before its trailing ASCII punctuation where the patterns never join that to what stands before; so a
+    word is encoded once and not once with every mark. A word of letters is one piece for these vocabularies and goes
+    straight to the library's model, after the same normalisation and byte mapping; all else takes the whole way. A text
+    that may hold one of the vocabulary's special strings is encoded whole, since the library reads those before anything
+    else. Chunks and words are kept in two generations of at most `size`.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = 2 * GENERATION):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize, self.size = self.tokenizer.model.tokenize, size
         with open(path) as f:
             parts = json.load(f)
         kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
@@ -105,46 +109,76 @@ class _Library:
         self.direct = known and parts["model"]["type"] == "BPE"
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_chars = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(seen))}
-        self.parts: dict[str, bytes] = {}
-
-    def _whole(self, part: str) -> bytes:
-        return array.array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-
-    def _one(self, part: str) -> bytes:
-        word = part[1:] if part[0] == " " else part
-        if not self.direct or not word.isalpha() or max(word) >= "\u0370":
-            return self._whole(part)
-        if self.lower:
-            word = unicodedata.normalize("NFC", word).lower()
-            if not word.isalpha():
-                return self._whole(part)
-        mapped = word.encode().decode("latin-1").translate(self.byte_chars)
-        tokens = self.model.tokenize((self.space if part[0] == " " else "") + mapped)
-        return array.array("I", [t.id for t in tokens]).tobytes()
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        if len(self.parts) > 2 * GENERATION:
-            self.parts.clear()
-        parts, one, out = self.parts, self._one, []
-        for c in chunks:
-            stem = c.rstrip(string.punctuation)
-            if not stem or not stem[-1].isalnum():
-                stem = c
-            ids = parts.get(stem)
-            if ids is None:
-                ids = parts[stem] = one(stem)
-            if len(stem) < len(c):
-                tail = c[len(stem):]
-                more = parts.get(tail)
-                if more is None:
-                    more = parts[tail] = self._whole(tail)
-                ids += more
-            out.append(ids)
-        return out
-
-
-def encode_texts(learned: Encodings, texts: list[str]):
+        added = [t["content"] for t in parts["added_tokens"]]
+        self.special = os.path.commonprefix(added) if added else None
+        self.old: dict = {}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _stem(self, stem: str) -> bytes:
+        word = stem[1:] if stem[0] == " " else stem
+        if not self.direct or not word.isalpha():
+            return self.whole(stem)
+        if not word.isascii():
+            if max(word) >= "\u0370":
+                return self.whole(stem)
+            if self.lower:
+                word = unicodedata.normalize("NFC", word).lower()
+                if not word.isalpha():
+                    return self.whole(stem)
+            word = word.encode().decode("latin-1").translate(self.byte_chars)
+        elif self.lower:
+            word = word.lower()
+        return array.array("I", [t.id for t in self.tokenize(self.space + word if stem[0] == " " else word)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.words.get(part)
+        if ids is None:
+            if len(self.words) >= self.size:
+                self.words.clear()
+            ids = self.words[part] = self._stem(part)
+        return ids
+
+    def __missing__(self, key) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            chunk = literal(key)
+            stem = chunk.rstrip(string.punctuation)
+            if stem and len(stem) < len(chunk) and self._ends(stem[-1]):
+                ids = self._part(stem) + self._part(chunk[len(stem):])
+            else:
+                ids = self._part(chunk)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+    def _ends(self, last: str) -> bool:
+        """Whether a letter or digit is still the last thing once `last` is normalised; a mark would go with what follows."""
+        if not last.isascii() and self.lower:
+            last = unicodedata.normalize("NFC", last).lower()[-1]
+        return last.isalnum()
+
+    def texts(self, texts: list[str]):
+        """Ids of each text. Nothing here makes reference cycles, and the collector's passes over the kept words cost a fifth of the time."""
+        get, special, collects = self.__getitem__, self.special, gc.isenabled()
+        gc.disable()
+        try:
+            for t in texts:
+                yield self.whole(t) if special is not None and special in t else b"".join(map(get, chunk_keys(t)))
+        finally:
+            if collects:
+                gc.enable()
+
+
+def encode_texts(learned: Encodings | Library, texts: list[str]):
     """Joined values of each text's chunks, text by text."""
+    if isinstance(learned, Library):
+        yield from learned.texts(texts)
+        return
     for cut in slices(texts):
         keys = [chunk_keys(t) for t in texts[cut]]
         learned.learn(keys)
@@ -153,9 +187,9 @@ def encode_texts(learned: Encodings, texts: list[str]):
 
 
 @functools.cache
-def library_encodings(path: str) -> Encodings:
-    """Ids by chunk key, from a vocabulary of the tokenizers library."""
-    return Encodings(_Library(path).encode, 2 * GENERATION)
+def library_encodings(path: str) -> Library:
+    """Ids by chunk, from a vocabulary of the tokenizers library; one per worker."""
+    return Library(path)
 
 
 def default_path(name: str) -> str:

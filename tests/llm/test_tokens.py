@@ -11,7 +11,7 @@ import pytest
 
 from lumenstock.llm import packing, rans
 from lumenstock.llm.bpe import Bpe, encode_documents, encoding_digests
-from lumenstock.llm.chunks import chunk_keys, encode_texts, library_encodings, literal
+from lumenstock.llm.chunks import Library, chunk_keys, encode_texts, library_encodings, literal
 
 from .support import no_documents, odd_documents
 
@@ -24,13 +24,28 @@ def test_chunks_encode_like_the_whole_text(spark, sf_dir, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path(name))
-    t.encode_special_tokens = True
     texts = ODD + [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(100).collect()]
     got = [np.frombuffer(b, "<u4").tolist() for b in encode_texts(library_encodings(public.path(name)), texts)]
     assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert all("".join(map(literal, chunk_keys(x))) == x for x in texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts_encode_like_the_library(name):
+    """Special strings, letters that change when lower-cased or composed, marks, contractions, odd spaces."""
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(public.path(name)), random.Random(9)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "İ", "BELEDİYESİ", "e\u0301", "É", "ß", "ﬁ", "क़", "\u0307", "²", "Å", "Ǆ",
+             "it's", "'ll", "'S", "I'M", "word", "Words", "THE", "12", "3.5", ".", ",", "!?", "...", "-", "_", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\u2028", "日本", "\U0001f600", "ѐ", "Σς"]
+    own = Library(public.path(name), size=50)
+    for _ in range(10_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        (got,) = own.texts([text])
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert len(own) <= 50 and len(own.words) <= 50
+
+
 @pytest.fixture(scope="module")
 def multi():
     import tiktoken
@@ -80,7 +95,6 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = odd_documents(spark)
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None))
     ids = [np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4") for _, x in rows]
@@ -126,7 +140,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     docs = odd_documents(spark)
     got = packing.pack(docs).toPandas()
     want = []
