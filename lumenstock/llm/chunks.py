@@ -162,6 +162,12 @@ class Library(dict):
             last = unicodedata.normalize("NFC", last).lower()[-1]
         return last.isalnum()
 
+    def forget(self) -> None:
+        """Drop what is kept: at the end of a task, so that an idle worker holds no memory."""
+        self.clear()
+        self.old.clear()
+        self.words.clear()
+
     def texts(self, texts: list[str]):
         """Ids of each text. Nothing here makes reference cycles, and the collector's passes over the kept words cost a fifth of the time."""
         get, special, collects = self.__getitem__, self.special, gc.isenabled()

@@ -100,6 +100,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                     rows.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        learned.forget()
 
     return documents(docs).mapInArrow(run, PIECE)
 

@@ -133,6 +133,24 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
     return Model(prior, edges, w, b)
 
 
+def _scores(texts: list[str], model: Model) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model.weights[_binned(features(texts), model.edges)].sum(1) + model.bias, -30, 30)))
+
+
+def good_rows(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """Rows of `docs` predicted good, all columns as they are; all rows where no label says what is good."""
+    if model is None:
+        return docs
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(_scores([t or "" for t in batch.column("text").to_pylist()], model) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     def run(batches):
@@ -140,10 +158,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
 
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            if model is None:
-                s = np.zeros(len(texts))
-            else:
-                s = 1 / (1 + np.exp(-np.clip(model.weights[_binned(features(texts), model.edges)].sum(1) + model.bias, -30, 30)))
+            s = np.zeros(len(texts)) if model is None else _scores(texts, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = documents(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -117,6 +117,7 @@ def _tokenise(path: str, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), pa.array(range(seq, seq + len(part)), pa.int64()), pa.array(after, pa.int64()), pa.array(doc_id, pa.int64()), pa.array([_narrow(i) for i in ids], pa.binary())], names=["part", "seq", "after", "doc_id", "ids"])
             seq, at = seq + len(part), int(after[-1]) if len(after) else at
+        learned.forget()
 
     return run
 

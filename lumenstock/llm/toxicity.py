@@ -235,17 +235,41 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:
     return model
 
 
+def _judge(model: Model):
+    """Score and significant passages of a text."""
+    def of(text: str) -> tuple[float, list]:
+        if model.words is None:
+            return 0.0, []
+        found = significant(*scan(text, model.words), model)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.intercept + model.slope * evidence(found))))), found
+
+    return of
+
+
+def clean_rows(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """Rows of `docs` not predicted toxic, all columns as they are. A decision reads the row's own text only, so nothing is shuffled."""
+    def run(batches):
+        import pyarrow as pa
+
+        judge = _judge(model)
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t or "")[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, and the significant passages by word place with their expected counts."""
     def run(batches):
         import pyarrow as pa
 
         place = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
+        judge = _judge(model)
         for batch in batches:
             scores, passages = [], []
             for text in batch.column(2).to_pylist():
-                found = significant(*scan(text, model.words), model) if model.words is not None else []
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model.intercept + model.slope * evidence(found))))) if model.words is not None else 0.0)
+                value, found = judge(text)
+                scores.append(value)
                 passages.append([dict(zip(("first_word", "last_word", "score", "expected"), x)) for x in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, place)], names=["doc_id", "held_out", "score", "predicted", "passages"])
 
