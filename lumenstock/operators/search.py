@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, vocab
+from ..functions import vocab
 from ..functions.ranking import spread_rank
 from ..functions.rules import accessible
+from ..functions.stage import materialize
+from . import fulltext
 from . import offers as money
 
 MAX_LIMIT = 100
@@ -51,15 +53,10 @@ FACT_INPUTS = [
 ]
 
 
-def match_text(products: DataFrame, q: str) -> DataFrame:
-    """Every query word (stop words aside) occurs in name or summary. Exact words, no stemming."""
-    import re
-
-    wanted = [w for w in re.split("[^a-z0-9]+", q.lower()) if w and w not in text.STOP_WORDS]
-    if not wanted:
-        return products.filter(F.lit(False))
-    found = text.words(F.concat_ws(" ", "name", "summary"))
-    return products.filter(reduce(lambda a, b: a & b, [F.array_contains(found, w) for w in wanted]))
+def match_text(products: DataFrame, q: str, index: DataFrame | None = None) -> DataFrame:
+    """Products that hold every lexeme of the query, by the index of their texts, or of their own columns where none is given."""
+    index = fulltext.postings(fulltext.field_texts(products)) if index is None else index
+    return products.join(fulltext.matching_products(index, q), "id", "left_semi")
 
 
 def by_manufacturer(products: DataFrame, slug: str) -> DataFrame:
@@ -127,7 +124,7 @@ def _other_filters(m: dict, f: Filters) -> DataFrame:
     """Published products under every filter except the nullable-fact ones and the price."""
     rows = m["products"].filter("is_published")
     if f.q:
-        rows = match_text(rows, f.q)
+        rows = match_text(rows, f.q, m.get("text_index"))
     if f.manufacturer:
         rows = by_manufacturer(rows, f.manufacturer)
     if f.commercial_status:
@@ -230,36 +227,45 @@ def distinct_in_order(csv: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda t: t != F.lit("")))
 
 
+def judged(m: dict, f: Filters) -> DataFrame:
+    """Every product that some answer of the search may concern, with what decides it, from one pass over products and offers.
+
+    `held`: bit i is set where constraint i on a fact is satisfied, `open`: where its fact is unknown; `price` is
+    'qualifies', 'above_limit', 'unprovable', or NULL without a ceiling. Products with a constraint neither satisfied
+    nor unknown concern nothing and are left out. The lowest price comes along for sorting.
+    """
+    constraints = fact_constraints(f)
+    bits = lambda flags: reduce(lambda a, b: a + b, [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(flags)], F.lit(0))
+    rows = _other_filters(m, f).select(
+        "*", bits([c for c, _ in constraints]).alias("held"), bits([u for _, u in constraints]).alias("open"))
+    rows = rows.where((F.col("held") + F.col("open")) == (1 << len(constraints)) - 1)
+    if f.price_max is None:
+        lowest = money.lowest_price(m["pricing"]).select(F.col("product_id").alias("id"), "lowest_purchase_price")
+        return rows.join(lowest, "id", "left").withColumn("price", F.lit(None).cast("string"))
+    priced = money.price_comparability(rows, m["pricing"], f.price_max, f.price_currency)
+    return priced.withColumnsRenamed({"amount": "lowest_purchase_price", "comparability": "price"})
+
+
 def search(m: dict, f: Filters, sort: str = "name", limit: int = 24, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """(page, totals): the page rows, and one row with the total and the sorted notices.
 
-    Notices describe the whole filtered query, never the visible page.
+    Notices describe the whole filtered query, never the visible page. The judged products are stored once; page,
+    total and notices read only them.
     """
     validate_filters(f)
-    found = catalogue_search(m, f)
-    ordered = order_by(sort)
-    if sort.lstrip("-") == "price":
-        if f.price_max is not None:
-            lowest = money.lowest_comparable(m["pricing"], f.price_currency).select(F.col("product_id").alias("id"), F.col("amount").alias("lowest_purchase_price"))
-        else:
-            lowest = money.lowest_price(m["pricing"]).select(F.col("product_id").alias("id"), "lowest_purchase_price")
-        rows = found.join(lowest, "id", "left")
-    else:
-        rows = found
-    parts = [found.agg(F.count(F.lit(1)).alias("total"))]
-    parts.append(unknown_excluded(m, f).agg((F.count(F.lit(1)) > 0).alias("unknown")))
-    if f.price_max is not None:
-        candidates = by_facts(_other_filters(m, f), f)
-        parts.append(money.ceiling_flags(candidates, m["pricing"], f.price_max, f.price_currency))
-    else:
-        parts.append(found.sparkSession.range(0, 1, 1, 1).select(F.lit(False).alias("above_limit"), F.lit(False).alias("unprovable")))
-    folded = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    folded = folded.agg(*[F.max(c).alias(c) for c in folded.columns])
-    code = lambda flag, label: F.when(F.col(flag), F.array(F.lit(label))).otherwise(F.array().cast("array<string>"))
-    totals = folded.select(
+    rows = materialize(judged(m, f), "judged")
+    known = F.col("open") == 0
+    priced = F.lit(True) if f.price_max is None else F.col("price") == "qualifies"
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    flags = rows.agg(
+        F.count_if(known & priced).alias("total"), some(~known & priced).alias("unknown"),
+        some(known & (F.col("price") == "above_limit")).alias("above_limit"), some(known & (F.col("price") == "unprovable")).alias("unprovable"))
+    code = lambda flag, label: F.when(F.col(flag), F.array(F.lit(label))).otherwise(F.array().cast("array<string>"))
+    totals = flags.select(
         "total", merge_warnings(code("unknown", UNKNOWN_EXCLUDED), code("above_limit", ABOVE_LIMIT), code("unprovable", UNPROVABLE)).alias("warnings")
     )
-    return page(rows, ordered, limit, offset), totals
+    shown = rows.where(known & priced).drop("held", "open", "price")
+    return page(shown, order_by(sort), limit, offset), totals
 
 
 # Which vocabulary governs which request field.

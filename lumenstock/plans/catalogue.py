@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,33 +11,40 @@ from ..functions import labels, text, vocab
 from ..functions.rules import radar_eligible
 from ..operators import evidence as ev
 from ..operators import images as img
-from ..operators import reads, search
+from ..operators import offers as money
+from ..operators import fulltext, reads, search
 from ..operators.search import Filters
 from ..sources.catalog import Catalog
 from .offers import applicable, snapshot_of
 from .registry import query, shared_view
+from .text_sql import holds
 
 
-def search_model(c: Catalog) -> dict:
+def search_model(c: Catalog, with_text: bool = False) -> dict:
     return {
         "products": c.product, "fits": c.fit, "availability": c.availability, "pricing": c.pricing,
-        "applicable": applicable(c),
+        "applicable": applicable(c), "text_index": text_index(c) if with_text else None,
     }
 
 
+def text_index(c: Catalog) -> DataFrame:
+    return fulltext.stored_index(fulltext.field_texts(c.product, c.description))
+
+
 def _live(c):
     return c.product.filter("is_published")
 
 
 # ---- filters ------------------------------------------------------------------------------
 
-_WORDS = "string_split(trim(regexp_replace(lower(concat_ws(' ', name, summary)), '[^a-z0-9]+', ' ', 'g')), ' ')"
+@query("filter_fulltext", f"SELECT id FROM m_product p WHERE is_published AND {holds('economi', 'bolt')}")
+def _(c):
+    return search.match_text(_live(c), "The economies of a BOLT", text_index(c)).select("id")
 
 
-@query("filter_fulltext", f"""
-SELECT id FROM m_product WHERE is_published AND list_contains({_WORDS}, 'economy') AND list_contains({_WORDS}, 'bolt')""")
+@query("text_index", "SELECT lexeme, product_id, weight FROM m_text_index")
 def _(c):
-    return search.match_text(_live(c), "The economy of a BOLT").select("id")
+    return text_index(c)
 
 
 @query("filter_manufacturer", "SELECT id FROM m_product WHERE is_published AND manufacturer_slug = 'Brand#7'")
@@ -146,9 +155,9 @@ def _(c):
 # ---- search -------------------------------------------------------------------------------
 
 ENVELOPE = Filters(
-    payload_min=10, has_sdk=True, region="N7", transaction_type=["PURCHASE", "RENTAL"], price_max=60000, price_currency="USD",
+    q="units for the brand", payload_min=10, has_sdk=True, region="N7", transaction_type=["PURCHASE", "RENTAL"], price_max=60000, price_currency="USD",
 )
-_ENVELOPE_BASE = f"""m_product p WHERE is_published AND EXISTS (
+_ENVELOPE_BASE = f"""m_product p WHERE is_published AND {holds("unit", "brand")} AND EXISTS (
   SELECT 1 FROM m_availability a WHERE a.product_id = p.id AND {_OPEN} AND a.transaction_type IN ('PURCHASE', 'RENTAL')
     AND (a.region_id IS NULL OR a.region_id IN (SELECT applicable_id FROM m_applicable WHERE code = 'N7')))"""
 
@@ -169,7 +178,7 @@ SELECT (SELECT count(*) FROM found) AS total,
     CASE WHEN EXISTS (SELECT 1 FROM pool WHERE amount IS NULL) THEN 'price_max_excluded_unprovable' END],
     lambda w: w IS NOT NULL)), '|') AS warnings""")
 def _(c):
-    shown, totals = search.search(search_model(c), ENVELOPE, "-payload", limit=10, offset=2)
+    shown, totals = search.search(search_model(c, with_text=True), ENVELOPE, "-payload", limit=10, offset=2)
     # The page has at most 100 rows by contract; it is folded into one text for comparison.
     order = F.struct(-F.coalesce(F.col("payload_kg").cast("double"), F.lit(-1.0)), "slug")
     folded = shown.select(order.alias("o")).agg(F.array_sort(F.collect_list("o")).alias("rows"))
@@ -178,10 +187,21 @@ def _(c):
     return both.agg(F.max("total").alias("total"), F.max("page").alias("page"), F.array_join(F.max("warnings"), "|").alias("warnings"))
 
 
-@query("sorted_catalogue", """
-SELECT id, row_number() OVER (ORDER BY payload_kg DESC NULLS LAST, slug) AS rank FROM m_product WHERE is_published""")
+_SORTED = {"name": "name", "price": "lowest_purchase_price", "payload": "payload_kg", "newest": "created_on"}
+_ALL_KEYS = [(sign + name, f"{column} {'DESC' if sign else 'ASC'} NULLS LAST") for name, column in _SORTED.items() for sign in ("", "-")]
+
+
+@query("sorted_catalogue", f"""
+WITH low AS (SELECT product_id, min(price) AS lowest_purchase_price FROM m_pricing
+    WHERE is_current AND transaction_type = 'PURCHASE' AND price_type IN ('PUBLIC', 'FROM') GROUP BY product_id),
+live AS (SELECT p.*, lowest_purchase_price FROM m_product p LEFT JOIN low ON product_id = p.id WHERE is_published)
+{" UNION ALL ".join(f"SELECT '{key}' AS sort, id, row_number() OVER (ORDER BY {order}, slug) AS rank FROM live" for key, order in _ALL_KEYS)}""")
 def _(c):
-    return search.sort_catalogue(_live(c), "-payload").select("id", "rank")
+    """Every sort key both ways."""
+    lowest = money.lowest_price(c.pricing).select(F.col("product_id").alias("id"), "lowest_purchase_price")
+    live = _live(c).join(lowest, "id", "left").select("id", "slug", "name", "payload_kg", "created_on", "lowest_purchase_price")
+    ranked = [search.sort_catalogue(live, key).select(F.lit(key).alias("sort"), "id", "rank") for key, _ in _ALL_KEYS]
+    return reduce(DataFrame.unionByName, ranked)
 
 
 @query("page", """

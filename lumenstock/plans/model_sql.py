@@ -19,7 +19,7 @@ SELECT s_suppkey AS id, s_name AS name, s_nationkey + 100 AS country_id,
     s_suppkey % 10 <> 0 AS is_active, s_acctbal > 0 AS accepts_leads FROM supplier""",
     "m_use_case": "SELECT DISTINCT c_mktsegment AS slug FROM customer",
     "m_product": """
-SELECT p_partkey AS id, 'p-' || p_partkey AS slug, p_name AS name, p_brand AS manufacturer_slug,
+SELECT p_partkey AS id, 'p-' || p_partkey AS slug, p_name AS name, substr(p_type, 1, 2) || '-' || p_size AS model_code, p_brand AS manufacturer_slug,
     CASE WHEN p_partkey % 11 = 0 THEN 'UNKNOWN' WHEN p_partkey % 13 = 0 THEN 'DISCONTINUED'
          WHEN p_type = 'ECONOMY' THEN 'COMMERCIAL' WHEN p_type = 'STANDARD' THEN 'LIMITED_COMMERCIAL'
          WHEN p_type = 'PROMO' THEN 'EARLY_ACCESS' WHEN p_type = 'LARGE' THEN 'PILOT'

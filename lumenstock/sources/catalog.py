@@ -95,6 +95,7 @@ class Catalog:
             key.alias("id"),
             F.concat(F.lit("p-"), key.cast("string")).alias("slug"),
             F.col("p_name").alias("name"),
+            F.concat(F.substring(kind, 1, 2), F.lit("-"), size.cast("string")).alias("model_code"),
             F.col("p_brand").alias("manufacturer_slug"),
             status.alias("commercial_status"),
             _null_if(key % 7 == 0, size.cast("decimal(6,1)")).alias("payload_kg"),
@@ -119,6 +120,12 @@ class Catalog:
             F.date_add(F.lit("2020-01-01").cast("date"), (key % 1500).cast("int")).alias("created_on"),
         )
 
+    @cached_property
+    def description(self) -> DataFrame:
+        """Long texts of products, kept apart from their facts: (product_id, text)."""
+        known = self.table("part").select(F.col("p_partkey").alias("doc_id"))
+        return self.table("documents").join(known, "doc_id", "left_semi").select(F.col("doc_id").alias("product_id"), "text")
+
     def _supplier_region(self) -> DataFrame:
         return self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
             F.col("s_suppkey"),
