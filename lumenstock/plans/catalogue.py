@@ -14,6 +14,7 @@ from ..operators import images as img
 from ..operators import offers as money
 from ..operators import fulltext, reads, search
 from ..operators.search import Filters
+from ..operators.specifications import typed_values
 from ..sources.catalog import Catalog
 from .offers import applicable, snapshot_of
 from .registry import query, shared_view
@@ -398,24 +399,40 @@ def _(c):
 def detail_model(c: Catalog) -> dict:
     return {
         "products": c.product, "pricing": c.pricing, "availability": c.availability, "deployments": c.deployment,
-        "fits": c.fit, "images": c.image, "history": c.status_history,
+        "fits": c.fit, "images": c.image, "history": c.status_history, "variants": c.variant, "capabilities": c.capability,
+        "specifications": c.specification, "spec_definitions": c.spec_definition,
     }
 
 
-@query("product_detail", """
+_MODE = f"list_position({_sql_list(vocab.TRANSACTION_TYPE)}, transaction_type)"
+_SPECS = " UNION ALL ".join(f"SELECT id, 'spec', {i}, '{f}', '{f}|' || coalesce(CAST({f} AS VARCHAR), '') FROM m_product" for i, f in enumerate(reads.SPEC_FIELDS))
+
+
+@query("product_detail", f"""
 WITH e AS (
-  SELECT product_id AS id, 'pricing' AS section, concat_ws('|', transaction_type, price_type, coalesce(CAST(price AS VARCHAR), ''),
+  SELECT product_id AS id, 'pricing' AS section, CAST({_MODE} * 10 + list_position({_sql_list(vocab.PRICE_TYPE)}, price_type) AS DOUBLE) AS o1, id AS o2,
+    concat_ws('|', transaction_type, price_type, coalesce(CAST(price AS VARCHAR), ''),
     coalesce(CAST(price_min AS VARCHAR), ''), coalesce(CAST(price_max AS VARCHAR), ''), currency, billing_period,
     coalesce(CAST(region_id AS VARCHAR), ''), coalesce(CAST(provider_id AS VARCHAR), '')) AS entry FROM m_pricing WHERE is_current
-  UNION ALL SELECT product_id, 'availability', concat_ws('|', transaction_type, availability_status, coalesce(CAST(region_id AS VARCHAR), ''),
+  UNION ALL SELECT product_id, 'availability', {_MODE}, id, concat_ws('|', transaction_type, availability_status, coalesce(CAST(region_id AS VARCHAR), ''),
     CAST(provider_id AS VARCHAR), coalesce(CAST(available_from AS VARCHAR), '')) FROM m_availability WHERE is_current
-  UNION ALL SELECT product_id, 'deployment', concat_ws('|', CAST(provider_id AS VARCHAR), CAST(contract_value AS VARCHAR)) FROM m_deployment
-  UNION ALL SELECT product_id, 'fit', concat_ws('|', use_case, coalesce(CAST(fit_score AS VARCHAR), '')) FROM m_fit
-  UNION ALL SELECT product_id, 'image', concat_ws('|', image_url, image_type, coalesce(attribution, '')) FROM m_shown_image
-  UNION ALL SELECT product_id, 'history', concat_ws('|', status, CAST(effective_at AS VARCHAR)) FROM m_status_history)
-SELECT p.slug, e.section, e.entry FROM e JOIN m_product p ON p.id = e.id WHERE p.is_published""")
+  UNION ALL SELECT product_id, 'deployment', -contract_value, id, concat_ws('|', CAST(provider_id AS VARCHAR), CAST(contract_value AS VARCHAR)) FROM m_deployment
+  UNION ALL SELECT product_id, 'fit', -coalesce(fit_score, -1), use_case, concat_ws('|', use_case, coalesce(CAST(fit_score AS VARCHAR), '')) FROM m_fit
+  UNION ALL SELECT product_id, 'image', CASE WHEN is_primary THEN 0 ELSE 2 END + CASE WHEN is_official THEN 0 ELSE 1 END, lpad(CAST(id AS VARCHAR), 20, '0'),
+    concat_ws('|', image_url, image_type, coalesce(attribution, '')) FROM m_shown_image
+  UNION ALL SELECT product_id, 'history', effective_at - DATE '1970-01-01', status, concat_ws('|', status, CAST(effective_at AS VARCHAR)) FROM m_status_history
+  UNION ALL SELECT product_id, 'variant', 0, slug, concat_ws('|', slug, name, CAST(is_developer AS VARCHAR)) FROM m_variant
+  UNION ALL SELECT product_id, 'capability', 0, capability, concat_ws('|', capability, CAST(supported AS VARCHAR), coalesce(detail, '')) FROM m_capability
+  UNION ALL SELECT product_id, 'extended_spec', sort_order, id, concat_ws('|', key, label, coalesce(kind, ''), coalesce(value, ''), coalesce(unit, ''), category, coalesce(variant_id, '')) FROM m_typed_spec
+  UNION ALL {_SPECS})
+SELECT p.slug, e.section, row_number() OVER (PARTITION BY p.id, e.section ORDER BY o1, o2) AS position, e.entry FROM e JOIN m_product p ON p.id = e.id WHERE p.is_published""")
+def _(c):
+    return reads.product_detail(detail_model(c)).select("slug", "section", "position", "entry")
+
+
+@query("spec_values", "SELECT id, product_id, variant_id, key, label, category, kind, value_number, value_bool, value_text, value, unit FROM m_typed_spec")
 def _(c):
-    return reads.product_detail(detail_model(c)).select("slug", "section", "entry")
+    return typed_values(c.specification, c.spec_definition).drop("sort_order")
 
 
 @query("absence_notices", """

@@ -45,6 +45,35 @@ SELECT p_partkey AS id, 'p-' || p_partkey AS slug, p_name AS name, substr(p_type
     CASE WHEN p_partkey % 4 <> 0 THEN CAST(2015 + p_partkey % 10 AS INTEGER) END AS announced_year,
     DATE '2020-01-01' + CAST(p_partkey % 1500 AS INTEGER) AS created_on
 FROM part""",
+    "m_variant": """
+SELECT DISTINCT 'v-' || l_partkey || '-' || l_linestatus AS id, l_partkey AS product_id, 'edition-' || lower(l_linestatus) AS slug,
+    'Edition ' || l_linestatus AS name, l_linestatus = 'O' AS is_developer FROM lineitem""",
+    "m_spec_definition": """
+SELECT * FROM (VALUES ('list_price', 'List price', 'OTHER', 'USD', 3), ('outdoor_rated', 'Outdoor use', 'MOBILITY', NULL, 1),
+    ('ingress_rating', 'Ingress rating', 'SAFETY', NULL, 2), ('noise', 'Noise', 'SAFETY', 'dB', 2),
+    ('largest_load', 'Largest load', 'MANIPULATION', 'kg', 1)) t(key, label, category, unit, sort_order)""",
+    "m_specification": """
+SELECT concat_ws('-', CAST(product_id AS VARCHAR), key, variant_id) AS id, * FROM (
+  SELECT p_partkey AS product_id, CAST(NULL AS VARCHAR) AS variant_id, 'list_price' AS key,
+    CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_retailprice AS DECIMAL(18,4)) END AS value_number, CAST(NULL AS BOOLEAN) AS value_bool,
+    CAST(NULL AS VARCHAR) AS value_text, CASE WHEN p_partkey % 6 = 1 THEN 'EUR' END AS unit FROM part
+  UNION ALL SELECT p_partkey, NULL, 'outdoor_rated', NULL, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 2 = 0 END, NULL, NULL FROM part
+  UNION ALL SELECT p_partkey, NULL, 'ingress_rating', NULL, NULL, 'IP' || (60 + p_size % 10), NULL FROM part
+  UNION ALL SELECT p_partkey, NULL, 'noise', CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size + 0.5 AS DECIMAL(18,4)) END, NULL, CASE WHEN p_partkey % 3 <> 0 THEN 'quiet' END, NULL FROM part
+  UNION ALL SELECT l_partkey, 'v-' || l_partkey || '-' || l_linestatus, 'largest_load', CAST(max(l_quantity) AS DECIMAL(18,4)), NULL, NULL, NULL
+    FROM lineitem GROUP BY l_partkey, l_linestatus) s""",
+    "m_typed_spec": """
+SELECT s.id, product_id, variant_id, s.key, label, category, sort_order,
+    CASE WHEN value_number IS NOT NULL THEN 'number' WHEN value_bool IS NOT NULL THEN 'boolean' WHEN value_text IS NOT NULL THEN 'text' END AS kind,
+    value_number, CASE WHEN value_number IS NULL THEN value_bool END AS value_bool,
+    CASE WHEN value_number IS NULL AND value_bool IS NULL THEN value_text END AS value_text,
+    coalesce(regexp_replace(regexp_replace(CAST(value_number AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), CAST(value_bool AS VARCHAR), value_text) AS value,
+    coalesce(s.unit, d.unit) AS unit
+FROM m_specification s JOIN m_spec_definition d ON d.key = s.key""",
+    "m_capability": """
+SELECT l_partkey AS product_id, CASE l_returnflag WHEN 'A' THEN 'navigation' WHEN 'N' THEN 'grasping' WHEN 'R' THEN 'speech' END AS capability,
+    max(l_discount) > 0.05 AS supported, CASE WHEN max(l_quantity) < 40 THEN 'up to ' || CAST(max(l_quantity) AS INTEGER) END AS detail
+FROM lineitem GROUP BY l_partkey, l_returnflag""",
     "m_compare_set": """
 SELECT id // 4 AS set_id, slug, CAST(id % 4 + 1 AS INTEGER) AS position FROM m_product WHERE is_published""",
     "m_availability": f"""

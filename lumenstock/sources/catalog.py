@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 
 GLOBAL_REGION_ID = 0
+# Keys of the long tail: key, label, category, usual unit, place on a page.
+SPEC_DEFINITIONS = [
+    ("list_price", "List price", "OTHER", "USD", 3), ("outdoor_rated", "Outdoor use", "MOBILITY", None, 1), ("ingress_rating", "Ingress rating", "SAFETY", None, 2),
+    ("noise", "Noise", "SAFETY", "dB", 2), ("largest_load", "Largest load", "MANIPULATION", "kg", 1),
+]
 
 
 def _cycle(key: Column, *values) -> Column:
@@ -120,6 +125,46 @@ class Catalog:
             F.date_add(F.lit("2020-01-01").cast("date"), (key % 1500).cast("int")).alias("created_on"),
         )
 
+    @cached_property
+    def variant(self) -> DataFrame:
+        """Editions of a product, one per state its orders are in."""
+        rows = self.table("lineitem").select("l_partkey", "l_linestatus").distinct()
+        slug = F.concat(F.lit("edition-"), F.lower("l_linestatus"))
+        return rows.select(
+            F.concat_ws("-", F.lit("v"), "l_partkey", "l_linestatus").alias("id"), F.col("l_partkey").alias("product_id"), slug.alias("slug"),
+            F.concat(F.lit("Edition "), F.col("l_linestatus")).alias("name"), (F.col("l_linestatus") == "O").alias("is_developer"))
+
+    @cached_property
+    def spec_definition(self) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("key", "label", "category", "unit", "sort_order"), d)]) for d in SPEC_DEFINITIONS]))
+        return self.spark.range(0, 1, 1, 1).select(rows.alias("d")).select("d.*")
+
+    @cached_property
+    def specification(self) -> DataFrame:
+        """Attribute-value rows: some of products, some of a variant; some state two values, some none."""
+        key = F.col("p_partkey")
+        number, flag, words = F.lit(None).cast("decimal(18,4)"), F.lit(None).cast("boolean"), F.lit(None).cast("string")
+        value = lambda name, n=number, b=flag, t=words, unit=words: F.struct(
+            F.lit(name).alias("key"), n.alias("value_number"), b.alias("value_bool"), t.alias("value_text"), unit.alias("unit"))
+        rows = self.table("part").select(key.alias("product_id"), F.explode(F.array(
+            value("list_price", n=_null_if(key % 4 == 0, F.col("p_retailprice").cast("decimal(18,4)")), unit=F.when(key % 6 == 1, F.lit("EUR"))),
+            value("outdoor_rated", b=_null_if(key % 5 == 0, key % 2 == 0)),
+            value("ingress_rating", t=F.concat(F.lit("IP"), (60 + F.col("p_size") % 10).cast("string"))),
+            value("noise", n=F.when(key % 3 == 1, (F.col("p_size") + 0.5).cast("decimal(18,4)")), t=F.when(key % 3 != 0, F.lit("quiet"))),
+        )).alias("s")).select("product_id", F.lit(None).cast("string").alias("variant_id"), "s.*")
+        loads = self.table("lineitem").groupBy("l_partkey", "l_linestatus").agg(F.max("l_quantity").cast("decimal(18,4)").alias("value_number")).select(
+            F.col("l_partkey").alias("product_id"), F.concat_ws("-", F.lit("v"), "l_partkey", "l_linestatus").alias("variant_id"), F.lit("largest_load").alias("key"),
+            "value_number", flag.alias("value_bool"), words.alias("value_text"), words.alias("unit"))
+        return rows.unionByName(loads).select(F.concat_ws("-", "product_id", "key", "variant_id").alias("id"), "*")
+
+    @cached_property
+    def capability(self) -> DataFrame:
+        """What a product can do, with a limit where one is known."""
+        rows = self.table("lineitem").groupBy("l_partkey", "l_returnflag").agg(F.max("l_discount").alias("discount"), F.max("l_quantity").alias("most"))
+        return rows.select(
+            F.col("l_partkey").alias("product_id"), vocab.lookup(F.col("l_returnflag"), {"A": "navigation", "N": "grasping", "R": "speech"}, None).alias("capability"),
+            (F.col("discount") > 0.05).alias("supported"), F.when(F.col("most") < 40, F.concat(F.lit("up to "), F.col("most").cast("int").cast("string"))).alias("detail"))
+
     @cached_property
     def description(self) -> DataFrame:
         """Long texts of products, kept apart from their facts: (product_id, text)."""
