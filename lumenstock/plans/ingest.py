@@ -12,6 +12,8 @@ from ..sources import exports
 from ..sources.catalog import Catalog
 from ..streaming import candidates as stream
 from ..streaming import events as ev
+from ..streaming import limits
+from ..streaming.replay import replay
 from .registry import query, shared_view
 
 ORIGIN = "https://catalogue.example"
@@ -217,19 +219,77 @@ def _(c):
 
 @query("event_rollup", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events FROM m_event GROUP BY 1, 2")
 def _(c):
-    return ev.event_rollup(c.event)
+    """The event table replayed as a stream; one last row, far behind the others, closes their windows."""
+    arriving, store, mark = _scratch(c, "arriving"), _scratch(c, "rollup"), _scratch(c, "progress")
+    rows = c.event.select("id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    end = rows.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("string").alias("event_type"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"))
+    late = replay(rows.unionByName(end), "ts", 5, arriving, lambda feed: ev.append_rollup(feed, store, mark))
+    if ev.late_rows(late):
+        raise RuntimeError("rows of a replay in order of time cannot be late")
+    return c.spark.read.parquet(store)
+
+
+# Requests come through shared addresses, a thousand times as fast as the events they are read from.
+_REQUEST_SQL = """
+SELECT id, CASE WHEN event_type IN ('click', 'view') THEN 'buyer_requirements' ELSE 'commercial_leads' END AS policy, CAST(client // 32 AS VARCHAR) AS client,
+  epoch_us(ts) // 1000 AS us FROM m_event"""
+
+
+def requests(c: Catalog):
+    return c.event.select(
+        "id", F.when(F.col("event_type").isin("click", "view"), "buyer_requirements").otherwise("commercial_leads").alias("policy"),
+        F.floor(F.col("client") / 32).cast("string").alias("client"),
+        F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")).alias("ts"))
+
+
+shared_view("m_request", _REQUEST_SQL)
+shared_view("m_policy", " UNION ALL ".join(
+    f"SELECT '{name}' AS policy, {t['burst'][0]}000000 AS bw, {t['burst'][1]} AS bl, {t['sustained'][0]}000000 AS sw, {t['sustained'][1]} AS sl" for name, t in ev.POLICIES.items()))
+
+
+@query("rate_limits", """
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY policy, client ORDER BY us, id) AS n FROM m_request JOIN m_policy USING (policy)),
+s AS (
+  SELECT policy, client, n, id, us, us AS bs, 1 AS bc, us AS ss, 1 AS sc FROM r WHERE n = 1
+  UNION ALL
+  SELECT policy, client, n, id, us, bs, bc, CASE WHEN bc > bl THEN ss WHEN us - ss >= sw THEN us ELSE ss END,
+    CASE WHEN bc > bl THEN sc WHEN us - ss >= sw THEN 1 ELSE sc + 1 END
+  FROM (SELECT r.policy, r.client, r.n, r.id, r.us, r.bl, r.sw, s.ss, s.sc, CASE WHEN r.us - s.bs >= r.bw THEN r.us ELSE s.bs END AS bs,
+      CASE WHEN r.us - s.bs >= r.bw THEN 1 ELSE s.bc + 1 END AS bc FROM s JOIN r ON r.policy = s.policy AND r.client = s.client AND r.n = s.n + 1) q)
+SELECT policy, client, id, CASE WHEN bc > bl THEN 'burst' WHEN sc > sl THEN 'sustained' ELSE 'accepted' END AS outcome,
+  CAST(CASE WHEN bc > bl THEN bc ELSE sc END AS BIGINT) AS hits,
+  CAST(CASE WHEN bc > bl THEN least(greatest(1, ceil((bw - (us - bs)) / 1000000.0)), bw // 1000000)
+    WHEN sc > sl THEN least(greatest(1, ceil((sw - (us - ss)) / 1000000.0)), sw // 1000000) ELSE 0 END AS BIGINT) AS retry_after
+FROM s JOIN m_policy USING (policy)""")
+def _(c):
+    """Every request of both policies, replayed as a stream."""
+    arriving, store, mark = _scratch(c, "arriving"), _scratch(c, "decisions"), _scratch(c, "progress")
+
+    def start(feed):
+        return (limits.rate_decisions(feed).writeStream.format("parquet").option("path", store).option("checkpointLocation", mark)
+                .outputMode("append").trigger(availableNow=True).start())
+
+    replay(requests(c), "ts", 3, arriving, start)
+    return c.spark.read.parquet(store).drop("ts")
+
 
+_SIGHTINGS = """
+SELECT c.source, external_ref, id AS candidate_id, c.name, TIMESTAMP '2026-03-01' + to_days(CAST(id % 5 AS INTEGER)) + to_microseconds(id) AS seen_at
+FROM m_candidate c JOIN m_source s ON s.key = c.source
+WHERE s.is_enabled AND tos_status = 'ALLOWED' AND robots_status IN ('ALLOWED', 'NOT_APPLICABLE') AND reviewed_at IS NOT NULL AND reviewed_by IS NOT NULL"""
 
-@query("stream_ingest")
+
+@query("stream_ingest", f"""
+SELECT source, external_ref, arg_min(candidate_id, (seen_at, candidate_id)) AS candidate_id, arg_min(name, (seen_at, candidate_id)) AS name,
+  min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, count(*) AS sightings FROM ({_SIGHTINGS}) s GROUP BY source, external_ref""")
 def _(c):
-    """The candidate table replayed as a stream of files."""
+    """The candidate table replayed as a stream of files; every fourth record is delivered twice."""
+    return ingested(c, 3)
+
+
+def ingested(c: Catalog, slices: int):
     arriving, store, mark = _scratch(c, "arriving"), _scratch(c, "store"), _scratch(c, "progress")
-    rows = c.candidate.select(
-        F.col("id").alias("candidate_id"), "source", "external_ref", "name",
-        F.date_add(F.lit("2026-03-01").cast("date"), (F.col("id") % 5).cast("int")).alias("seen_at"),
-    )
-    for part in range(3):
-        rows.filter(F.col("candidate_id") % 3 == part).write.mode("append").parquet(arriving)
-    feed = c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(arriving)
-    stream.stream_ingest(feed, store, c.source, mark).awaitTermination()
+    seen = F.timestamp_micros(F.unix_micros(F.lit("2026-03-01").cast("timestamp")) + (F.col("id") % 5) * 86_400_000_000 + F.col("id"))
+    rows = c.candidate.select(F.col("id").alias("candidate_id"), "source", "external_ref", "name", seen.alias("seen_at"))
+    replay(rows, "seen_at", slices, arriving, lambda feed: stream.stream_ingest(feed, store, c.source, mark), again=rows.where("candidate_id % 4 = 0"))
     return stream.current_candidates(c.spark, store)

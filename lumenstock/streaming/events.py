@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 # Fixed values: (window seconds, limit) per policy and tier.
 POLICIES = {
@@ -39,3 +40,17 @@ def event_rollup(events: DataFrame, width: str = "1 day", watermark: str = "1 ho
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events")).select(
         F.col("w.start").alias("window_start"), "event_type", "events"
     )
+
+
+def late_rows(progress: list) -> int:
+    """Rows a stream dropped because they came after the watermark, from the progress of its batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def append_rollup(events: DataFrame, store_path: str, checkpoint: str, width: str = "1 day", watermark: str = "1 hour") -> StreamingQuery:
+    """Write every window once, when the watermark has passed its end. A window still open waits for later events.
+
+    Rows that come too late for their window are not in the store; `late_rows` of the query's progress counts them.
+    """
+    return (event_rollup(events, width, watermark).writeStream.format("parquet").outputMode("append").option("path", store_path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
