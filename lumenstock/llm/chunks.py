@@ -92,7 +92,7 @@ class Library(dict):
     else. Chunks and words are kept in two generations of at most `size`.
     """
 
-    def __init__(self, path: str, size: int = 2 * GENERATION):
+    def __init__(self, path: str, size: int = GENERATION):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

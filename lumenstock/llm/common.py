@@ -26,6 +26,28 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(batches, rows: int = 500):
+    """The rows of a task's batches in short ones: texts are unpacked a few at a time, so a worker's memory follows these."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    tidy()
+
+
+def tidy() -> None:
+    """Give back what a finished task has freed: a worker lives on for other tasks and would keep it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold no label is learned from."""
     return F.crc32(doc_id.cast("string")) % 3 == 1

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import default_path, encode_texts, library_encodings
-from .common import documents, stored
+from .common import documents, small, stored
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         import pyarrow as pa
 
         learned, end = library_encodings(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(learned, batch.column(1).to_pylist())):
                 ids += end

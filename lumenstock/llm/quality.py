@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labelled_sample
+from .common import documents, held_out, labelled_sample, small
 
 BINS = 10
 _CLASS = np.full(256, 8, np.uint8)
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
     def measure(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             x = features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["good", "doc_id", "x"])
 
@@ -145,7 +145,7 @@ def good_rows(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> D
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(_scores([t or "" for t in batch.column("text").to_pylist()], model) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(2).to_pylist()
             s = np.zeros(len(texts)) if model is None else _scores(texts, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labelled_sample, stored
+from .common import documents, held_out, labelled_sample, small, stored
 
 WORDS = re.compile(r"[^\W\d_]+")
 PRIOR, DRIFT, STEMS = 5.0, 1.5, (4, 5, 6)
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:
         import pyarrow as pa
 
         held: dict = {}
-        for batch in batches:
+        for batch in small(batches):
             for label, text, half in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault((label, half), Counter()).update(WORDS.findall(text.lower()))
         rows = [(w, label, half, n) for (label, half), c in held.items() for w, n in c.items()]
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:
     def trial(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for label, text, half in zip(*(c.to_pylist() for c in batch.columns)):
                 words = halves[half]
@@ -252,7 +252,7 @@ def clean_rows(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         import pyarrow as pa
 
         judge = _judge(model)
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array([judge(t or "")[0] < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
         place = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         judge = _judge(model)
-        for batch in batches:
+        for batch in small(batches):
             scores, passages = [], []
             for text in batch.column(2).to_pylist():
                 value, found = judge(text)
