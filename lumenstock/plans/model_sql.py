@@ -134,8 +134,8 @@ SELECT page_id AS id, page_id // 4 AS product_id, url AS image_url,
     CASE WHEN page_id % 9 <> 4 THEN url END AS source_url
 FROM pages""",
     "m_hero": """
-SELECT page_id // 4 AS product_id, max(url) || ' ' AS hero_image_url
-FROM pages WHERE page_id % 3 <> 1 GROUP BY page_id // 4""",
+SELECT page_id // 4 AS product_id, max(CASE WHEN page_id % 3 <> 1 THEN url END) || ' ' AS hero_image_url
+FROM pages GROUP BY page_id // 4""",
     "m_status_history": """
 SELECT DISTINCT l_partkey AS product_id,
     CASE l_returnflag WHEN 'A' THEN 'ANNOUNCED' WHEN 'N' THEN 'PROTOTYPE' WHEN 'R' THEN 'COMMERCIAL' END AS status,

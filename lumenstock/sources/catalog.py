@@ -285,8 +285,8 @@ class Catalog:
     def hero(self) -> DataFrame:
         """Free-text hero image column of a product, kept apart because few products have one."""
         key = F.col("page_id")
-        return self.table("pages").filter(key % 3 != 1).groupBy(F.floor(key / 4).alias("product_id")).agg(
-            F.concat(F.max("url"), F.lit(" ")).alias("hero_image_url")
+        return self.table("pages").groupBy(F.floor(key / 4).alias("product_id")).agg(
+            F.concat(F.max(F.when(key % 3 != 1, F.col("url"))), F.lit(" ")).alias("hero_image_url")
         )
 
     @cached_property
