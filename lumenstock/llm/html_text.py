@@ -3,10 +3,14 @@
 A tokenizer cuts the page into tags and text; a tree builder supplies the tags authors leave out (`p`, `li`, `dt`,
 `option`, table rows, sections and cells, the end of everything open) and ignores stray end tags; visibility rules drop
 what a browser does not show (head, scripts, styles, templates, fallback content, `hidden`, `display: none`,
-`visibility: hidden`, closed details, hidden inputs, options not selected, drawing definitions, annotations of
+`visibility: hidden` until a descendant is visible again, closed details and dialogs, gauges, hidden inputs, options not selected, drawing definitions, annotations of
 formulas). The head ends at the first tag or text that cannot stand in it. In `svg` and `math` tags may close
 themselves, and a tag of HTML ends them. The renderer then lays out blocks with collapsed margins, keeps
-`pre`, marks and indents list items, and aligns table cells in columns.
+`pre`, marks and indents list items, and aligns table cells in columns. Of styles the `style` attribute counts; rules
+of style sheets are not read.
+
+A quote counts in a tag only where a value may start, after `=`; elsewhere it is part of a name. A tag that the page
+ends in is no text.
 
 Null and empty pages give an empty text. Rows without an id are left out; rows that repeat an id are rendered each.
 Depth has no limit: the layout is of generators run from a stack, and open elements are looked up by name.
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas datalist map meta link base".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes object audio video canvas progress meter datalist map meta link base".split())
 UNSEEN_FOREIGN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 # Tags of HTML that end open svg and math elements, and the foreign elements that hold HTML.
@@ -37,8 +41,10 @@ ROWS = frozenset("thead tbody tfoot".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
            "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), **{r: ({"tr", "td", "th", "caption", "thead", "tbody", "tfoot"}, {"table"}) for r in ROWS}}
 SCOPE = frozenset("table td th caption html button object foreignobject".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_VALUE = r"(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))"
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+{_VALUE}?)?+", re.S)
+_ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)?+)*+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(>|\Z)|[^<]+|<", re.S)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _DECLARATION = re.compile(r"(?:[^;\"'(]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z))+")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -96,6 +102,8 @@ def parse(page: str) -> Node:
                 if stack[-1].holds != "svg":
                     stack[-1].children.append(html.unescape(m[0]))
             continue
+        if not m[4]:
+            break  # the page ends inside a tag
         name = name.lower()
         if stack[-1].name == "head" and (name in ("body", "html", "br") if m[1] else name not in IN_HEAD and name not in ("html", "head")):
             cut(len(stack) - 1)
@@ -105,7 +113,9 @@ def parse(page: str) -> Node:
             elif name not in ("html", "body"):
                 close({name}, SCOPE - {name} if name not in ("table", *ROWS, "tr") else {"table"} - {name})
             continue
-        attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])}
+        attributes = {}
+        for a in _ATTRIBUTE.finditer(m[3]):
+            attributes.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         if name in ("html", "body"):
             root.attributes |= attributes
             started = started or name == "body"
@@ -172,12 +182,18 @@ def _style(style: str) -> dict[str, str]:
 
 
 def seen(node: Node) -> bool:
+    """Whether the element has a box."""
     if node.name in UNSEEN or "hidden" in node.attributes or node.foreign and node.name in UNSEEN_FOREIGN:
         return False
-    if "style" not in node.attributes:
-        return True
-    style = _style(node.attributes["style"])
-    return style.get("display") != "none" and style.get("visibility") not in ("hidden", "collapse")
+    if node.name == "dialog" and "open" not in node.attributes:
+        return False
+    return "style" not in node.attributes or _style(node.attributes["style"]).get("display") != "none"
+
+
+def visible(node: Node, outer: bool) -> bool:
+    """Whether the element's own text is drawn; the property is inherited and may be turned on again."""
+    value = _style(node.attributes["style"]).get("visibility") if "style" in node.attributes else None
+    return value == "visible" or outer and value not in ("hidden", "collapse") or value == "initial"
 
 
 def _shown_options(select: Node) -> list[str]:
@@ -188,7 +204,7 @@ def _shown_options(select: Node) -> list[str]:
     while open_nodes:
         node, disabled = open_nodes.pop()
         off = disabled or "disabled" in node.attributes and node is not select
-        shown = seen(node)
+        shown = seen(node) and visible(node, True)
         if node.name == "option":
             text = _BLANK.sub(" ", node.attributes.get("label") or _all_text(node)).strip()
             if shown:
@@ -294,17 +310,20 @@ def _run(step):
     return value
 
 
-def _lay(node: Node, out: _Lines, kept: bool = False):
+def _lay(node: Node, out: _Lines, kept: bool = False, drawn: bool = True):
     number = int(node.attributes["start"]) if node.name == "ol" and re.fullmatch(r"-?\d{1,9}", node.attributes.get("start", "")) else 1
     closed = node.name == "details" and "open" not in node.attributes
     for child in node.children:
         if isinstance(child, str):
-            if not closed:
+            if drawn and not closed:
                 out.text(child, kept)
             continue
         name = child.name
         if not seen(child) or closed and name != "summary":
             continue
+        draw = visible(child, drawn)
+        if not draw and name in ("br", "hr", "input", "select"):
+            continue
         if name == "br":
             out.brk()
         elif name == "hr":
@@ -321,77 +340,79 @@ def _lay(node: Node, out: _Lines, kept: bool = False):
                 out.brk()
                 out.text(text, False)
         elif name == "textarea":
-            yield _lay(child, out, True)
+            yield _lay(child, out, True, draw)
         elif name == "text" and child.foreign == "svg":  # every text of a drawing has a place of its own
             out.block(False)
-            yield _lay(child, out, kept)
+            yield _lay(child, out, kept, draw)
             out.block(False)
         elif name == "table":
             out.block(True)
-            out.box((yield _table(child)))
+            out.box((yield _table(child, draw)))
             out.block(True)
         elif name == "li":
             out.block(False)
             mark = f"{number}. " if node.name == "ol" else "- "
             number += 1
-            yield _indented(child, out, mark, kept)
+            yield _indented(child, out, mark, kept, draw)
         elif name in ("blockquote", "dd"):
             out.block(name in MARGIN)
-            yield _indented(child, out, "  ", kept)
+            yield _indented(child, out, "  ", kept, draw)
             out.block(name in MARGIN)
         elif name in BLOCK:
             margin = name in MARGIN and not (name in ("ul", "ol", "menu") and node.name == "li")
             out.block(margin)
-            yield _lay(child, out, kept or name == "pre")
+            yield _lay(child, out, kept or name == "pre", draw)
             out.block(margin)
         else:
-            yield _lay(child, out, kept)
+            yield _lay(child, out, kept, draw)
 
 
-def _indented(node: Node, out: _Lines, mark: str, kept: bool):
+def _indented(node: Node, out: _Lines, mark: str, kept: bool, drawn: bool):
     inner = _Lines()
-    yield _lay(node, inner, kept)
+    yield _lay(node, inner, kept, drawn)
     lines = inner.done()
     out.box([(mark if i == 0 else " " * len(mark)) + line if line else "" for i, line in enumerate(lines)])
     out.block(False)
 
 
-def _table(table: Node):
+def _table(table: Node, drawn: bool):
     """Rows with their cells in aligned columns, two spaces apart; captions and stray text first."""
     captions, rows = [], []
 
-    def gather(node: Node):
+    def gather(node: Node, drawn: bool):
         for child in node.children:
             if isinstance(child, str):
-                captions.extend([_BLANK.sub(" ", child).strip()] if child.strip(" \t\n\r\f") else [])
-            elif not seen(child):
+                captions.extend([_BLANK.sub(" ", child).strip()] if drawn and child.strip(" \t\n\r\f") else [])
+                continue
+            if not seen(child):
                 continue
-            elif child.name == "tr":
-                rows.append([c for c in child.children if not isinstance(c, str) and c.name in ("td", "th") and seen(c)])
+            draw = visible(child, drawn)
+            if child.name == "tr":
+                rows.append([(c, visible(c, draw)) for c in child.children if not isinstance(c, str) and c.name in ("td", "th") and seen(c)])
                 rest = Node("tr")  # what stands in a row outside its cells
                 rest.children = [c for c in child.children if isinstance(c, str) or c.name not in ("td", "th")]
-                yield gather(rest)
+                yield gather(rest, draw)
             elif child.name in ROWS:
-                yield gather(child)
+                yield gather(child, draw)
             else:
                 inner = _Lines()
-                yield _lay_one(child, inner)
+                yield _lay_one(child, inner, drawn)
                 captions.extend(inner.done())
 
-    yield gather(table)
+    yield gather(table, drawn)
     grid: list[list[tuple[int, int, list[str]]]] = []  # (column, span, lines)
     taken: dict[int, int] = {}
     for cells in rows:
         line, column = [], 0
-        for cell in cells:
+        for cell, draw in cells:
             while taken.get(column, 0):
                 column += 1
-            span = min(_count(cell.attributes.get("colspan")), 100)
+            span = _count(cell.attributes.get("colspan"), 1000)
             inner = _Lines()
-            yield _lay(cell, inner)
+            yield _lay(cell, inner, False, draw)
             line.append((column, span, inner.done()))
             for c in range(column, column + span):
-                taken[c] = _count(cell.attributes.get("rowspan"))
+                taken[c] = _count(cell.attributes.get("rowspan"), 65534)
             column += span
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         grid.append(line)
@@ -417,14 +438,16 @@ def _table(table: Node):
     return out
 
 
-def _lay_one(node: Node, out: _Lines):
+def _lay_one(node: Node, out: _Lines, drawn: bool):
     holder = Node("div")
     holder.children.append(node)
-    yield _lay(holder, out)
+    yield _lay(holder, out, False, drawn)
 
 
-def _count(value: str | None) -> int:
-    return max(1, int(value)) if value and re.fullmatch(r"\d{1,4}", value) else 1
+def _count(value: str | None, most: int) -> int:
+    """A span, with the bound that HTML sets; 1 where it is no number."""
+    digits = re.match(r"\s*\+?0*(\d+)", value or "", re.A)
+    return 1 if not digits else most if len(digits[1]) > 5 else min(max(1, int(digits[1])), most)
 
 
 def render(page: str | None) -> str:

@@ -54,6 +54,30 @@ def test_visible_text_is_kept(page, text):
     assert render(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p title='it's ok'>Hello world, don't stop <b>now</b></p>", "Hello world, don't stop now"),
+    ("<a href=\"x\"\">Buy</a>", "Buy"),
+    ("<a title=a'b>x</a> <i ' >y</i> it's", "x y it's"),
+    ("<a title='a > b' href=\"c>d\">x", "x"),
+    ("<p =\"x\">a<p hidden=\">\">b<p/class=x/>c<img alt='", "a\n\nc"),
+    ("<p title=\"open>lost", ""),
+    ("<input type=submit value=Go type=hidden>", "Go"),
+    ("a<!-- x --!>b<!-->c<!--->d<!-- -- > -->e", "abcde"),
+    ("<div style='visibility:hidden'>a<p style='visibility:visible'>b<i style='visibility:collapse'>c</i>d</p>e</div>f", "bd\n\nf"),
+    ("<div style='display:none'><p style='visibility:visible'>b</p></div>c", "c"),
+    ("<table><tr><td style='visibility:hidden'>long<td>b<tr style='visibility:hidden'><td>c<td style='visibility:visible'>d<tr><td>xy<td>z</table>", "    b\n    d\nxy  z"),
+    ("<dialog>no</dialog><dialog open>yes</dialog><progress>70%</progress><meter>2</meter>", "yes"),
+    ("<table><tr><td colspan=300>w<td>x<tr><td>a<td colspan=299>b<td>c<tr><td rowspan=99999999>r<td>s</table>", "w     x\na  b  c\nr  s"),
+])
+def test_broken_quotes_and_inherited_visibility(page, text):
+    assert render(page) == text
+
+
+def test_tags_cost_linear_time():
+    for page in ("<p " + "a=" * 200_000, "<p " + "\"" * 200_000, "<p a='" + "x" * 200_000, "<" * 200_000, "<a b" * 100_000):
+        render(page + ">end")
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 5000 + "deep") == "deep"
     assert render("<table><tr><td>" * 400 + "x").strip() == "x"
