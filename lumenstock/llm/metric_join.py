@@ -13,8 +13,8 @@ earlier one are left out: scaled copies have one direction, and a plane between
 Any choice of pivots APART from each other gives the same result.
 
 Vectors that are null, empty or zero, or have null or non-finite components link with nothing, and vectors of
-different lengths do not link. Rows without an id are left out; rows that repeat an id are vectors of their own. An
-empty table gives an empty result.
+different lengths do not link. Rows without an id are left out; rows that repeat an id are vectors of their own, each
+with its own links and component (whose name is still the smallest id in it). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def _join_blocks(threshold: float):
 
 
 def metric_links(vectors: DataFrame, threshold: float = 0.9, per_cell: int = 4096, max_pivots: int = 1024, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal vectors (vec_id, rep, copies; rep null for rows that cannot link) and, by rep, partial counts and forest edges (a, b, links)."""
+    """Classes of equal vectors (vec_id, rep, copies, first; rep, the number of the class, null for rows that cannot link) and, by rep, partial counts and forest edges (a, b, links)."""
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id IS NOT NULL")
 
     def valid(batches):
@@ -158,14 +158,16 @@ def metric_links(vectors: DataFrame, threshold: float = 0.9, per_cell: int = 409
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
     checked = stored(raw.mapInArrow(valid, "vec_id long, vector binary"), "vectors")
-    distinct = stored(checked.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("rep", "copies", "vector"), "vectors")
-    classes = checked.join(distinct, "vector", "left").select("vec_id", "rep", "copies")
+    equal = checked.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    numbered = stored(equal.select(F.monotonically_increasing_id().alias("rep"), "copies", "first", "vector"), "vectors")  # an id may repeat, so it does not name a class
+    distinct = numbered.select("rep", "copies", "vector")
+    classes = checked.join(numbered, "vector", "left").select("vec_id", "rep", "copies", "first")
 
     sized = distinct.withColumn("size", F.octet_length("vector")).withColumn("hash", F.xxhash64("vector"))
-    first = F.row_number().over(W.partitionBy("size").orderBy("hash", "rep"))
+    first = F.row_number().over(W.partitionBy("size").orderBy("hash", "vector"))
     sample = sized.withColumn("r", first).where(F.col("r") <= 4).select("size", "vector").collect()
     for size, n in sized.groupBy("size").count().where(F.col("count") >= 5 * per_cell).collect():
-        more = sized.where(F.col("size") == size).orderBy("hash", "rep").limit(min(max_pivots, n // per_cell))
+        more = sized.where(F.col("size") == size).orderBy("hash", "vector").limit(min(max_pivots, n // per_cell))
         sample = [v for v in sample if v[0] != size] + more.select("size", "vector").collect()
     pivots: dict[int, list] = {}
     for size, v in sample:
@@ -193,7 +195,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, **options) -> DataF
     classes, found = metric_links(vectors, threshold, **options)
     partners = found.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("partners"))
     groups = connected_components(found.where("b IS NOT NULL").select("a", "b"))
+    named = groups.join(classes.select("rep", "first").distinct(), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("first").alias("smallest"))
+    groups = groups.join(named, "component").select("node", "smallest")
     out = classes.join(partners, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")
     links = F.coalesce(F.col("partners"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("smallest", "first", "vec_id")
     return out.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
