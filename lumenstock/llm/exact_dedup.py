@@ -110,13 +110,13 @@ def _chain(batches):
 
 
 def build_index(docs: DataFrame, capacity: int = 16 << 20, max_depth: int = 20, owners: int = 4096, fold_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
-    """The index and the entry of every row: `(bucket, key, chain, text, sha, keep_id, n)` and `(doc_id, key, sha)`.
+    """The index and the entry of every row: `(bucket, key, chain, text, sha, keep_id, n)` and `(row, doc_id, key, sha, size)`.
 
     `capacity`: text bytes of a bucket. `max_depth`: most bits of the directory. `owners`: most owner tasks, each with
     neighbouring buckets.
     """
     texts = documents(docs).withColumn("key", F.xxhash64("text"))
-    rows = stored(texts.select("doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("size")), "dedup-rows")
+    rows = stored(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("size")), "dedup-rows")
     prefix = F.shiftrightunsigned(F.col("key"), 64 - max_depth)
     once = rows.groupBy("key").agg(F.max("size").alias("size"))
     sizes = {r[0]: r[1] for r in once.groupBy(prefix.alias("p")).agg(F.sum("size")).collect()}  # at most 2**max_depth
@@ -136,5 +136,7 @@ def build_index(docs: DataFrame, capacity: int = 16 << 20, max_depth: int = 20,
 def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id (largest id of the same text), group_size, kept, text_sha256."""
     index, rows = build_index(docs, **options)
-    found = rows.join(index.select("key", "sha", "keep_id", "n"), ["key", "sha"])
-    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    stays = rows.groupBy("key", "sha").agg(F.max(F.struct("doc_id", "row")).alias("stays"))
+    entries = index.select("key", "sha", "keep_id", "n").join(stays, ["key", "sha"])
+    found = rows.join(entries, ["key", "sha"])
+    return found.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("stays.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
