@@ -43,6 +43,17 @@ def test_exact_duplicates(spark, options):
     assert exact_dedup.exact_duplicates(no_documents(spark), **options).count() == 0
 
 
+def test_one_row_of_equal_texts_stays(spark):
+    """Also where rows repeat an id and its text, or an id with another text."""
+    rows = [(1, "x"), (1, "x"), (1, "y"), (0, "x"), (0, "y"), (2, "y"), (2, "y"), (2, "y"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    stay = [(r.text_sha256, r.doc_id) for r in got if r.kept]
+    assert sorted(stay) == sorted((hashlib.sha256(t.encode()).hexdigest(), i) for t, i in [("x", 1), ("y", 2), ("", 3)])
+    assert {(r.keep_id, r.group_size) for r in got} == {(1, 3), (2, 5), (3, 2)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7)]
@@ -86,6 +97,15 @@ def test_ngram_join_equals_brute_force(spark, options):
     assert got == _brute(rows, options.get("words", 4), options.get("percent", 85))
 
 
+def test_ngram_join_takes_one_text_of_a_repeated_id(spark):
+    """The longest, then the last in byte order; the other texts of the id link nothing."""
+    first, last = "a b c d e f g", "h i j k l m n"
+    rows = [(1, first), (1, last), (2, first), (3, last), (4, "short"), (4, first + " o"), (4, None), (5, first + " o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.links_and_components(docs).collect()
+    assert sorted(map(tuple, got)) == [(1, 4, 1), (1, 4, 1), (2, 4, 2), (3, 4, 1), (4, 5, 4), (4, 5, 4), (4, 5, 4), (5, 5, 4)]
+
+
 def test_ngram_join_takes_odd_tables(spark):
     docs = odd_documents(spark)
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
@@ -115,6 +135,14 @@ def test_metric_join_equals_brute_force(spark, options):
     assert near_vectors(vectors.where("false"), **options).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Rows that repeat an id are vectors of their own; a component has its smallest id as name."""
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0]), (8, [0.0, 1.0]), (9, [-1.0, 0.0]), (9, None), (3, [0.02, 1.0])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    want = [(5, 1, 5, True), (5, 3, 3, False), (6, 1, 5, False), (7, 3, 3, False), (8, 3, 3, False), (9, 0, 9, True), (9, 0, 9, True), (3, 3, 3, True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_vectors_at_the_threshold(spark):
     """Cosines just above, at and below 0.9 in double precision."""
     rows = [(1, [1.0, 0.0]), (2, [0.9, (1 - 0.81) ** 0.5]), (3, [0.8999999, (1 - 0.8999999 ** 2) ** 0.5 * -1])]
