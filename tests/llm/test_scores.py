@@ -121,6 +121,23 @@ def test_prior_estimate():
     assert abs(quality.estimate_prior(positive, mixed) - 0.7) < 0.06
 
 
+def test_bins_are_quantiles_over_all_documents(spark):
+    rows, _ = _corpus(700)
+    x = quality.features([t for _, t in sorted(rows)])
+    edges = quality.bin_edges(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    want = np.quantile(x, np.arange(1, quality.BINS) / quality.BINS, axis=0, method="inverted_cdf").T
+    assert edges.shape == (118, quality.BINS - 1) and (edges <= want + 1e-6).all() and (want <= edges * (1 + 1 / 64) + 1e-6).all()
+    assert quality.bin_edges(no_documents(spark)) is None
+
+
+def test_prior_of_few_positives(spark):
+    """The bad ones are found although few rows are labelled."""
+    rows, marks = _corpus(300)
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, marks))
+    share = sum(q for _, q, _ in marks) / len(marks)
+    assert abs(model.prior - share) < 0.12
+
+
 def test_features_of_odd_texts():
     x = quality.features(["", " ", "\n\n", "a" * 100_000, "é|!?"])
     assert x.shape == (5, 118) and np.isfinite(x).all()
