@@ -341,7 +341,9 @@ UNION ALL SELECT 'PRICING_OFFER', o.id, CASE WHEN price_type = 'ESTIMATED' THEN
 FROM m_pricing o JOIN m_product p ON p.id = o.product_id WHERE is_published
   AND NOT EXISTS (SELECT 1 FROM m_evidence e WHERE e.subject_type = 'PRICING_OFFER' AND e.subject_id = o.id)
 UNION ALL SELECT 'AVAILABILITY_OFFER', o.id, 'MANUFACTURER_SITE', 'MEDIUM' FROM m_availability o JOIN m_product p ON p.id = o.product_id WHERE is_published
-UNION ALL SELECT 'DEPLOYMENT', o.id, 'NEWS_ARTICLE', 'MEDIUM' FROM m_deployment o JOIN m_product p ON p.id = o.product_id WHERE is_published"""
+  AND NOT EXISTS (SELECT 1 FROM m_evidence e WHERE e.subject_type = 'AVAILABILITY_OFFER' AND e.subject_id = o.id)
+UNION ALL SELECT 'DEPLOYMENT', o.id, 'NEWS_ARTICLE', 'MEDIUM' FROM m_deployment o JOIN m_product p ON p.id = o.product_id WHERE is_published
+  AND NOT EXISTS (SELECT 1 FROM m_evidence e WHERE e.subject_type = 'DEPLOYMENT' AND e.subject_id = o.id)"""
 
 
 @query("backfill_evidence", _BACKFILL)
@@ -355,7 +357,9 @@ SELECT t.token, CASE WHEN ok THEN t.id END AS evidence_id, CASE WHEN ok THEN t.s
   CASE WHEN ok THEN t.subject_id END AS subject_id, CASE WHEN ok THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS outcome
 FROM (SELECT t.*, EXISTS (
     SELECT 1 FROM (SELECT 'COMMERCIAL_STATUS' AS subject_type, CAST(id AS VARCHAR) AS subject_id, id AS product_id FROM m_product
-                   UNION ALL SELECT 'PRICING_OFFER', id, product_id FROM m_pricing WHERE is_current) s
+                   UNION ALL SELECT 'PRICING_OFFER', id, product_id FROM m_pricing WHERE is_current
+                   UNION ALL SELECT 'AVAILABILITY_OFFER', id, product_id FROM m_availability WHERE is_current
+                   UNION ALL SELECT 'DEPLOYMENT', id, product_id FROM m_deployment) s
     JOIN m_product p ON p.id = s.product_id AND p.is_published
     WHERE s.subject_type = t.subject_type AND s.subject_id = t.subject_id) AS ok FROM t) t
 UNION ALL SELECT 'er1.k1.forged-' || slug, NULL, NULL, NULL, 'UNRESOLVED' FROM m_manufacturer""")

@@ -31,7 +31,7 @@ def product_documents(c: Catalog):
         F.concat(F.lit("https://source.example/"), n.cast("string")).alias("source_url"), F.lit("MANUFACTURER_SITE").alias("source_type"),
         F.when(n % 4 != 1, "HIGH").alias("confidence"), F.when(n % 3 != i, F.lit("2026-01-01").cast("date")).alias("verified_at"),
     )
-    evidence = F.when(n % 17 != 0, F.array(k(1), k(2)))
+    evidence = F.array(k(1), k(2))  # of stated prices and dated offers
     slug = lambda c_: F.when(F.col(c_).isNotNull(), F.concat(F.lit("s-"), F.col(c_).cast("string")))
     prices = c.pricing.select(*pair(), "*").groupBy("part", "supp").agg(F.array_sort(F.collect_list(F.struct(
         "id", "transaction_type", "price_type", F.when(F.col("currency") != "USD", F.col("currency")).alias("currency"), "price", "price_min", "price_max",
@@ -40,13 +40,14 @@ def product_documents(c: Catalog):
     offers = c.availability.select(*pair(), "*").groupBy("part", "supp").agg(F.array_sort(F.collect_list(F.struct(
         "id", "transaction_type", F.when(F.col("availability_status") != "ON_REQUEST", F.col("availability_status")).alias("availability_status"),
         slug("provider_id").alias("provider_slug"), "available_from",
-    ))).alias("availability_offers"))
+    ))).alias("_o"))
     facts = c.product.select(F.col("id").alias("part"), "name", "manufacturer_slug", F.when(F.col("commercial_status") != "UNKNOWN", F.col("commercial_status")).alias("commercial_status"),
                              "is_published", F.struct("height_cm", "payload_kg", "has_sdk").alias("specs"))
     rows = prices.join(offers, ["part", "supp"], "full_outer").join(facts, "part")
     return rows.withColumn("_e", evidence).select(
         F.concat(F.lit("d-"), F.col("part").cast("string"), F.lit("-"), F.col("supp").cast("string")).alias("slug"), "name", "manufacturer_slug",
-        "commercial_status", "is_published", "specs", F.transform("_p", lambda p: p.withField("evidence", F.col("_e"))).alias("pricing_offers"), "availability_offers",
+        "commercial_status", "is_published", "specs", F.transform("_p", lambda p: p.withField("evidence", F.when(p["price"].isNotNull() | p["price_min"].isNotNull(), F.col("_e")))).alias("pricing_offers"),
+        F.transform("_o", lambda o: o.withField("evidence", F.when(o["available_from"].isNotNull(), F.col("_e")))).alias("availability_offers"),
     )
 
 
@@ -116,7 +117,10 @@ def _full(c: Catalog):
 @query("evidence_fanout", """
 SELECT 'PRICING_OFFER' AS subject_type, sha256(doc || '|pricing_offers|' || position) AS subject_id, 'https://source.example/' || n AS source_url,
   CASE WHEN n % 4 <> 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, CASE WHEN n % 3 <> k THEN DATE '2026-01-01' END AS verified_at
-FROM m_doc_price, (VALUES (1), (2)) t(k) WHERE n % 17 <> 0""")
+FROM m_doc_price, (VALUES (1), (2)) t(k) WHERE price IS NOT NULL OR price_min IS NOT NULL
+UNION ALL SELECT 'AVAILABILITY_OFFER', sha256(doc || '|availability_offers|' || position), 'https://source.example/' || n,
+  CASE WHEN n % 4 <> 1 THEN 'HIGH' ELSE 'MEDIUM' END, CASE WHEN n % 3 <> k THEN DATE '2026-01-01' END
+FROM (SELECT *, product_id + CAST(split_part(id, '-', 2) AS BIGINT) AS n FROM m_doc_offer) o, (VALUES (1), (2)) t(k) WHERE available_from IS NOT NULL""")
 def _(c):
     flat = docs.flatten_products(_full(c))
     return docs.explode_evidence(flat).select("subject_type", "subject_id", "source_url", "confidence", "verified_at")

@@ -114,14 +114,20 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 GROUP BY l_partkey, c_mktsegment""",
     "m_evidence": """
 SELECT subject_type || '-' || subject_id || '-' || k AS id, subject_type, subject_id,
-    CASE WHEN n % 3 <> k THEN DATE '2026-01-01' END AS verified_at,
-    CASE WHEN n % 2 = 0 THEN DATE '2026-01-02' ELSE DATE '2026-01-01' END AS observed_at,
+    CASE WHEN n % 3 <> k THEN last_seen + 10 END AS verified_at,
+    CASE WHEN k = 1 THEN first_seen ELSE last_seen END AS observed_at,
     (['LOW','MEDIUM','HIGH','VERIFIED'])[n % 4 + 1] AS confidence,
     CASE WHEN k = 1 THEN 'MANUFACTURER_SITE' ELSE 'NEWS_ARTICLE' END AS source_type,
     'https://source.example/' || n AS source_url
-FROM (SELECT 'COMMERCIAL_STATUS' AS subject_type, CAST(p_partkey AS VARCHAR) AS subject_id, p_partkey AS n FROM part
-      UNION ALL SELECT 'PRICING_OFFER', id, product_id + CAST(split_part(id, '-', 2) AS BIGINT) FROM m_pricing) f,
-     (VALUES (1), (2)) t(k) WHERE n % 17 <> 0""",
+FROM (SELECT subject_type, subject_id, n, max(seen) AS last_seen, min(seen) AS first_seen FROM (
+        SELECT 'COMMERCIAL_STATUS' AS subject_type, CAST(l_partkey AS VARCHAR) AS subject_id, l_partkey AS n, CAST(l_shipdate AS DATE) AS seen
+        FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber = 7
+        UNION ALL SELECT CASE WHEN l_linenumber >= 4 THEN 'PRICING_OFFER' ELSE 'AVAILABILITY_OFFER' END,
+          l_partkey || '-' || l_suppkey || '-' || l_linenumber, l_partkey + l_suppkey, CAST(l_shipdate AS DATE)
+        FROM lineitem WHERE l_linestatus = 'F'
+        UNION ALL SELECT 'DEPLOYMENT', l_partkey || '-' || l_suppkey, l_partkey + l_suppkey, CAST(l_shipdate AS DATE)
+        FROM lineitem WHERE l_linestatus = 'F') s GROUP BY ALL) f,
+     (VALUES (1), (2)) t(k)""",
     "m_image": """
 SELECT page_id AS id, page_id // 4 AS product_id, url AS image_url,
     CASE WHEN page_id % 5 = 0 THEN 'UNVERIFIED' ELSE 'VERIFIED' END AS identity_status,

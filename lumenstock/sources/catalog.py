@@ -247,20 +247,26 @@ class Catalog:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        status = self.table("part").select(
-            F.lit("COMMERCIAL_STATUS").alias("subject_type"), F.col("p_partkey").cast("string").alias("subject_id"),
-            F.col("p_partkey").alias("n"),
+        """Two observations of every fact that a finished line attests; facts of open lines only have none."""
+        part, line = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+        pair = F.col("l_partkey") + F.col("l_suppkey")
+        deal = F.concat_ws("-", "l_partkey", "l_suppkey")
+        offer = F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber")
+        fact = lambda kind, key, n: F.struct(F.lit(kind).alias("subject_type"), key.alias("subject_id"), n.alias("n"))
+        facts = F.array(
+            fact("DEPLOYMENT", deal, pair),
+            F.when(line >= 4, fact("PRICING_OFFER", offer, pair)).otherwise(fact("AVAILABILITY_OFFER", offer, pair)),
+            F.when(line == 7, fact("COMMERCIAL_STATUS", part, F.col("l_partkey"))),
         )
-        prices = self.pricing.select(
-            F.lit("PRICING_OFFER").alias("subject_type"), F.col("id").alias("subject_id"),
-            (F.col("product_id") + F.split("id", "-")[1].cast("long")).alias("n"),
+        lines = self.table("lineitem").filter(F.col("l_linestatus") == "F").select(F.explode(facts).alias("f"), F.col("l_shipdate").cast("date").alias("seen"))
+        rows = lines.filter(F.col("f").isNotNull()).select("f.*", "seen").groupBy("subject_type", "subject_id", "n").agg(
+            F.max("seen").alias("last"), F.min("seen").alias("first")
         )
-        rows = status.unionByName(prices).filter(F.col("n") % 17 != 0)
         k = F.col("k")
         return rows.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select(
             F.concat_ws("-", "subject_type", "subject_id", "k").alias("id"), "subject_type", "subject_id",
-            F.when(F.col("n") % 3 != k, F.lit("2026-01-01").cast("date")).alias("verified_at"),
-            F.when(F.col("n") % 2 == 0, F.lit("2026-01-02")).otherwise("2026-01-01").cast("date").alias("observed_at"),
+            F.when(F.col("n") % 3 != k, F.date_add("last", 10)).alias("verified_at"),
+            F.when(k == 1, F.col("first")).otherwise(F.col("last")).alias("observed_at"),
             _cycle(F.col("n"), *vocab.CONFIDENCE).alias("confidence"),
             F.when(k == 1, "MANUFACTURER_SITE").otherwise("NEWS_ARTICLE").alias("source_type"),
             F.concat(F.lit("https://source.example/"), F.col("n").cast("string")).alias("source_url"),
