@@ -25,6 +25,24 @@ def descending(col: Column) -> Column:
     return F.coalesce(-col, F.lit(float("inf")))
 
 
+def _in_ranges(df: DataFrame, order: list[Column | tuple[Column, bool]], keys: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Rows stored by ranges of the whole sort key with their range number, and the order within a range."""
+    given = [o if isinstance(o, tuple) else (o, False) for o in order]
+    sort = {f"_o{i}": c for i, (c, _) in enumerate(given)}
+    by = [F.col(n).desc() if down else F.col(n).asc() for n, (_, down) in zip(sort, given)]
+    ranged = df.withColumns(sort).repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id())
+    return materialize(ranged, "ranked"), by
+
+
+def _carried(tagged: DataFrame, local: Column, amount: Column, keys: list[str], name: str, columns: list[str]) -> DataFrame:
+    """`local` results of each range, shifted by the amounts of the earlier ranges of the same key."""
+    sums = tagged.groupBy(*keys, "_range").agg(F.sum(amount).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    joined = tagged.withColumn("_local", local).join(offsets, [*keys, "_range"])
+    return joined.select(*columns, (F.col("_offset") + F.col("_local")).alias(name))
+
+
 def spread_rank(df: DataFrame, order: list[Column | tuple[Column, bool]], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Exact 1-based position of each row under `order` (NULL-free, ending in a unique column), within `keys`.
 
@@ -36,14 +54,17 @@ def spread_rank(df: DataFrame, order: list[Column | tuple[Column, bool]], keys:
     (or the whole table) may hold any share of the rows.
     """
     keys = keys or []
-    given = [o if isinstance(o, tuple) else (o, False) for o in order]
-    sort = {f"_o{i}": c for i, (c, _) in enumerate(given)}
-    by = [F.col(n).desc() if down else F.col(n).asc() for n, (_, down) in zip(sort, given)]
-    ranged = df.withColumns(sort).repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id())
-    tagged = materialize(ranged, "ranked")
-    counts = tagged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = tagged.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*by)))
-    joined = local.join(offsets, [*keys, "_range"])
-    return joined.select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
+    tagged, by = _in_ranges(df, order, keys)
+    local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*by))
+    return _carried(tagged, local, F.lit(1), keys, name, df.columns)
+
+
+def spread_sum(df: DataFrame, amount: str, order: list[Column | tuple[Column, bool]], keys: list[str], name: str) -> DataFrame:
+    """Exact running sum of the whole-number column `amount` up to and with each row, within `keys`.
+
+    Two levels like `spread_rank`: a sum inside each range of the sort key, and the totals of the
+    earlier ranges carried in. `order` is NULL-free and tells all rows of a key apart.
+    """
+    tagged, by = _in_ranges(df, order, keys)
+    local = F.sum(amount).over(W.partitionBy(*keys, "_range").orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+    return _carried(tagged, local, F.col(amount), keys, name, df.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.ranking import first_per_key
+from ..functions.ranking import first_per_key, spread_sum
 from ..functions.rules import accessible, budget_ramp, clamp01, payload_headroom
 from ..functions.stage import materialize
 from ..functions.text import plain_number
@@ -27,6 +27,7 @@ from .offers import newest
 ANY = "ANY"
 TOP = 4
 LIST_LENGTH = 256
+ROUNDS = [16, 64]
 CRITERIA = list(vocab.WEIGHTS)
 SUBS = {name: f"sub_{name}" for name in CRITERIA}
 PARTS = {name: f"pts_{name}" for name in CRITERIA}
@@ -78,7 +79,8 @@ def exclusion_counts(requirements: DataFrame, products: DataFrame) -> DataFrame:
 
     Counted from a histogram of product facts, never pair by pair: products fold into their
     (manipulation, autonomy, discontinued) class and payload value, requirements into distinct
-    needs, and a running sum over payload values answers "how many carry less than this".
+    needs, and a running sum over payload values answers "how many carry less than this". The sum
+    runs in two levels over ranges of values, so the few classes do not bound the tasks.
     """
     live = products.filter("is_published")
     none = F.lit(-1)
@@ -108,8 +110,8 @@ def exclusion_counts(requirements: DataFrame, products: DataFrame) -> DataFrame:
         stock.filter("payload IS NOT NULL").select(*names, F.col("payload").alias("value"), "n", F.lit(1).alias("kind"))
     )
     # At equal values the question (kind 0) comes first, so it counts strictly smaller payloads.
-    running = F.sum("n").over(W.partitionBy(*names).orderBy("value", "kind").rowsBetween(W.unboundedPreceding, 0))
-    below = points.withColumn("below", running).filter("kind = 0").select(*names, F.col("value").alias("minimum"), "below")
+    running = spread_sum(points, "n", [F.col("value"), F.col("kind")], names, "below")
+    below = running.filter("kind = 0").select(*names, F.col("value").alias("minimum"), "below")
 
     wants = need.drop("requirement_id").distinct()
     cells = wants.join(below, "minimum").join(totals, names)
@@ -517,7 +519,11 @@ def prepare(m: dict) -> dict:
 
 
 def rank_prepared(run: dict, list_length: int = LIST_LENGTH) -> DataFrame:
-    """The best four products of every requirement, with sub-scores and points."""
+    """The best four products of every requirement, with sub-scores and points.
+
+    Lists are read in rounds, the head first. A list is settled for a requirement when its fourth
+    match is no worse than the bound of the last entry read; only lists not settled are read on.
+    """
     stock, asked = run["stock"], run["asked"]
     features = stock.drop("reach", "caps", "commercial_status", "autonomy", "plain", "has_sdk", "ros_support", "developer_edition")
     segments = asked.select(*SEGMENT, "segment").distinct()
@@ -526,22 +532,25 @@ def rank_prepared(run: dict, list_length: int = LIST_LENGTH) -> DataFrame:
     lists = materialize(
         _bounds(stock, segments).withColumn("place", place).filter(F.col("place") <= list_length), "lists"
     )
-    tails = lists.filter(F.col("place") == list_length).select("segment", F.col("bound").alias("tail"))
-    entries = lists.drop("place", "bound").join(features, ["product_id", "class"]).drop("class")
-    first = materialize(_best(score_pairs(_survivors(asked, entries, ["segment"]))), "first")
-
-    # A list is settled for a requirement when its fourth match is no worse than the list's tail.
-    fourth = first.filter(F.col("rank") == TOP).select("requirement_id", F.col("key").alias("fourth"))
-    unsettled = asked.join(tails, "segment").join(fourth, "requirement_id", "left").filter(
-        F.col("fourth").isNull() | (F.col("fourth") > F.col("tail"))
-    )
-    if unsettled.isEmpty():
-        return first.drop("key")
-    rest = _bounds(stock, segments.join(unsettled.select("segment"), "segment", "left_semi"))
+    open_, best, read = asked, None, 0
+    for end in [*(n for n in ROUNDS if n < list_length), list_length]:
+        part = lists.filter((F.col("place") > read) & (F.col("place") <= end))
+        entries = part.drop("place", "bound").join(features, ["product_id", "class"]).drop("class")
+        found = _best(score_pairs(_survivors(open_, entries, ["segment"])))
+        best = materialize(found if best is None else _best(best.unionByName(found)), "best")
+        tails = lists.filter(F.col("place") == end).select("segment", F.col("bound").alias("tail"))
+        fourth = best.filter(F.col("rank") == TOP).select("requirement_id", F.col("key").alias("fourth"))
+        reach = open_.drop("tail", "fourth").join(tails, "segment").join(fourth, "requirement_id", "left").filter(
+            F.col("fourth").isNull() | (F.col("fourth") > F.col("tail"))
+        )
+        open_, read = materialize(reach, "unsettled"), end
+    if open_.isEmpty():
+        return best.drop("key")
+    rest = _bounds(stock, segments.join(open_.select("segment"), "segment", "left_semi"))
     left_out = (F.col("bound") > F.col("tail")) & (F.col("fourth").isNull() | (F.col("bound") < F.col("fourth")))
-    more = unsettled.drop("class").join(rest, "segment").filter(left_out).drop("bound", "tail", "fourth", "segment")
+    more = open_.drop("class").join(rest, "segment").filter(left_out).drop("bound", "tail", "fourth", "segment")
     second = _best(score_pairs(_survivors(more, features, ["product_id", "class"])))
-    return _best(first.unionByName(second)).drop("key")
+    return _best(best.unionByName(second)).drop("key")
 
 
 def rank_matches(m: dict, list_length: int = LIST_LENGTH) -> DataFrame:
