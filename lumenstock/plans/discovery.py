@@ -13,18 +13,33 @@ from .registry import query, shared_view
 
 _ELIGIBLE = """is_enabled AND tos_status = 'ALLOWED' AND robots_status IN ('ALLOWED', 'NOT_APPLICABLE') AND reviewed_at IS NOT NULL AND reviewed_by IS NOT NULL"""
 
-shared_view("m_keyed", f"SELECT *, {sql_model_key('name', 'maker_key')} AS model_key FROM (SELECT *, {sql_normalize('manufacturer')} AS maker_key FROM m_candidate) c")
-shared_view("m_shelf", f"""
-SELECT *, {sql_model_key('name', 'maker_key')} AS model_key FROM (SELECT id, name, manufacturer_slug, {sql_normalize('manufacturer_slug')} AS maker_key FROM m_product) p""")
-shared_view("m_identity", """
+def identity_views(prefix: str, candidates: str) -> None:
+    """Views of keyed candidates and of their identity, over the candidates of a view."""
+    shared_view(f"{prefix}_keyed", f"SELECT *, {sql_model_key('name', 'maker_key')} AS model_key FROM (SELECT *, {sql_normalize('manufacturer')} AS maker_key FROM {candidates}) c")
+    shared_view(f"{prefix}_identity", f"""
 SELECT k.*, CASE WHEN e.n = 1 THEN 'MATCHED_EXISTING' WHEN e.n > 1 THEN 'AMBIGUOUS' WHEN k.model_key = '' AND s.n = 1 THEN 'POSSIBLE_DUPLICATE'
     WHEN k.model_key = '' THEN 'AMBIGUOUS' WHEN t.n > 1 THEN 'POSSIBLE_DUPLICATE' ELSE 'NEW_ENTITY' END AS identity_status,
   CASE WHEN e.n = 1 THEN e.id WHEN e.n IS NULL AND k.model_key = '' AND s.n = 1 THEN s.id END AS possible_product_id, m.slug AS possible_maker
-FROM m_keyed k
+FROM {prefix}_keyed k
 LEFT JOIN (SELECT maker_key, model_key, count(*) AS n, min(id) AS id FROM m_shelf WHERE model_key <> '' GROUP BY 1, 2) e USING (maker_key, model_key)
 LEFT JOIN (SELECT maker_key, count(*) AS n, min(id) AS id FROM m_shelf WHERE maker_key <> '' GROUP BY 1) s USING (maker_key)
-LEFT JOIN (SELECT maker_key, model_key, count(*) AS n FROM m_keyed GROUP BY 1, 2) t USING (maker_key, model_key)
+LEFT JOIN (SELECT maker_key, model_key, count(*) AS n FROM {prefix}_keyed GROUP BY 1, 2) t USING (maker_key, model_key)
 LEFT JOIN (SELECT min(maker_key) AS maker_key, manufacturer_slug AS slug FROM m_shelf GROUP BY 2) m ON m.maker_key = k.maker_key""")
+
+
+def hash_view(name: str, identity: str) -> None:
+    """The snapshot hash of every candidate of an identity view."""
+    shared_view(name, f"""
+SELECT id, sha256('[' || concat_ws(',', '["candidate_id","' || id || '"]', '["external_ref","' || external_ref || '"]', '["candidate_name","' || name || '"]',
+  '["candidate_manufacturer","' || manufacturer || '"]', '["identity_status","' || identity_status || '"]', '["status","' || status || '"]',
+  '["trace_state","' || trace_state || '"]', '["official_url_lead",' || coalesce('"' || official_url || '"', 'null') || ']',
+  '["updated_at","' || strftime(updated_at, '%Y-%m-%dT00:00:00.000000+00:00') || '"]') || ']') AS h FROM {identity}""")
+
+
+shared_view("m_shelf", f"""
+SELECT *, {sql_model_key('name', 'maker_key')} AS model_key FROM (SELECT id, name, manufacturer_slug, {sql_normalize('manufacturer_slug')} AS maker_key FROM m_product) p""")
+identity_views("m", "m_candidate")
+hash_view("m_hash", "m_identity")
 shared_view("m_conflict", """
 SELECT DISTINCT candidate_id FROM (SELECT candidate_id, field_key FROM m_claim GROUP BY 1, 2 HAVING count(DISTINCT claimed_value) > 1) f""")
 shared_view("m_state", """
@@ -140,13 +155,6 @@ def _(c):
     return dc.snapshot_hash(identified(c)).select("id", "snapshot_hash")
 
 
-shared_view("m_hash", """
-SELECT id, sha256('[' || concat_ws(',', '["candidate_id","' || id || '"]', '["external_ref","' || external_ref || '"]', '["candidate_name","' || name || '"]',
-  '["candidate_manufacturer","' || manufacturer || '"]', '["identity_status","' || identity_status || '"]', '["status","' || status || '"]',
-  '["trace_state","' || trace_state || '"]', '["official_url_lead",' || coalesce('"' || official_url || '"', 'null') || ']',
-  '["updated_at","' || strftime(updated_at, '%Y-%m-%dT00:00:00.000000+00:00') || '"]') || ']') AS h FROM m_identity""")
-
-
 @query("review_worksheet", """
 SELECT i.id AS candidate_id, h AS snapshot_hash, coalesce(official_url, '') AS trace_url, name, manufacturer, coalesce(n, 0) AS claims
 FROM m_identity i JOIN m_hash USING (id) LEFT JOIN (SELECT candidate_id, count(*) AS n FROM m_claim GROUP BY 1) c ON c.candidate_id = i.id
