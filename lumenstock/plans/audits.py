@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audits
@@ -116,21 +119,33 @@ def _(c):
     return audits.check_violations(tables)
 
 
-@query("unique_audit", """
-SELECT 'availability' AS key_of, product_id, CAST(region_id AS VARCHAR) AS scope, transaction_type AS detail, count(*) AS n FROM m_availability WHERE is_current
-GROUP BY product_id, region_id, transaction_type HAVING count(*) > 1
-UNION ALL SELECT 'pricing', product_id, CAST(provider_id AS VARCHAR), transaction_type, count(*) FROM m_pricing WHERE is_current GROUP BY product_id, provider_id, transaction_type HAVING count(*) > 1
-UNION ALL SELECT 'primary_image', product_id, NULL, NULL, count(*) FROM m_image WHERE is_primary GROUP BY product_id HAVING count(*) > 1""")
+# The columns that tell current offers apart; a missing variant, provider or region is a value of its own.
+OFFER_KEY = ["product_id", "variant_id", "provider_id", "region_id", "transaction_type"]
+SPEC_KEY = ["product_id", "variant_id", "key"]
+
+
+def _key_sql(kind: str, table: str, key: list[str], where: str) -> str:
+    detail = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in key[1:]) or "''"
+    return f"SELECT '{kind}' AS key_of, product_id, concat_ws('|', {detail}) AS detail, count(*) AS n FROM {table} WHERE {where} GROUP BY {', '.join(key)} HAVING count(*) > 1"
+
+
+@query("unique_audit", " UNION ALL ".join([
+    _key_sql("availability", "m_availability", OFFER_KEY, "is_current"), _key_sql("pricing", "m_pricing", OFFER_KEY, "is_current"),
+    _key_sql("specification", "(SELECT * REPLACE (NULL AS variant_id) FROM m_typed_spec)", SPEC_KEY, "true"), _key_sql("primary_image", "m_image", ["product_id"], "is_primary")]))
 def _(c):
-    offers = audits.duplicate_keys(c.availability, ["product_id", "region_id", "transaction_type"], "is_current")
-    prices = audits.duplicate_keys(c.pricing, ["product_id", "provider_id", "transaction_type"], "is_current")
-    images = audits.duplicate_keys(c.image, ["product_id"], "is_primary")
-    none = F.lit(None).cast("string")
-    return (
-        offers.select(F.lit("availability").alias("key_of"), "product_id", F.col("region_id").cast("string").alias("scope"), F.col("transaction_type").alias("detail"), "n")
-        .unionByName(prices.select(F.lit("pricing").alias("key_of"), "product_id", F.col("provider_id").cast("string").alias("scope"), F.col("transaction_type").alias("detail"), "n"))
-        .unionByName(images.select(F.lit("primary_image").alias("key_of"), "product_id", none.alias("scope"), none.alias("detail"), "n"))
-    )
+    """Specifications are given without their variant, a fault that makes the editions' entries collide."""
+    def named(kind, rows, key):
+        detail = [F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in key[1:]] or [F.lit("")]
+        return rows.select(F.lit(kind).alias("key_of"), "product_id", F.concat_ws("|", *detail).alias("detail"), "n")
+
+    flat = c.specification.withColumn("variant_id", F.lit(None).cast("string"))
+    parts = [
+        named("availability", audits.duplicate_keys(c.availability, OFFER_KEY, "is_current"), OFFER_KEY),
+        named("pricing", audits.duplicate_keys(c.pricing, OFFER_KEY, "is_current"), OFFER_KEY),
+        named("specification", audits.duplicate_keys(flat, SPEC_KEY), SPEC_KEY),
+        named("primary_image", audits.duplicate_keys(c.image, ["product_id"], "is_primary"), ["product_id"]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("lineage_audit", """

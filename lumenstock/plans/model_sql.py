@@ -78,18 +78,18 @@ FROM lineitem GROUP BY l_partkey, l_returnflag""",
 SELECT id // 4 AS set_id, slug, CAST(id % 4 + 1 AS INTEGER) AS position FROM m_product WHERE is_published""",
     "m_availability": f"""
 SELECT l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_partkey AS product_id,
-    CAST(NULL AS VARCHAR) AS variant_id, l_suppkey AS provider_id, {_SUPPLIER_REGION} AS region_id,
+    CASE WHEN NOT starts_with(flags, 'R') THEN 'v-' || l_partkey || '-' || edition END AS variant_id, l_suppkey AS provider_id, {_SUPPLIER_REGION} AS region_id,
     CASE l_linenumber WHEN 1 THEN 'PURCHASE' WHEN 2 THEN 'RENTAL' WHEN 3 THEN 'RAAS' END AS transaction_type,
     CASE flags WHEN 'AF' THEN 'AVAILABLE' WHEN 'AO' THEN 'LIMITED' WHEN 'NF' THEN 'NOT_AVAILABLE'
         WHEN 'NO' THEN 'PREORDER' WHEN 'RF' THEN 'DISCONTINUED' WHEN 'RO' THEN 'ON_REQUEST' END AS availability_status,
     CASE WHEN l_partkey % 4 <> 0 THEN first_ship END AS available_from, tax < 0.07 AS is_current
 FROM (SELECT l_partkey, l_suppkey, l_linenumber, min(l_returnflag) || min(l_linestatus) AS flags,
-        CAST(min(l_shipdate) AS DATE) AS first_ship, min(l_tax) AS tax
+        min(l_linestatus) AS edition, CAST(min(l_shipdate) AS DATE) AS first_ship, min(l_tax) AS tax
       FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL) o
 JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "m_pricing": f"""
 SELECT l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_partkey AS product_id,
-    CAST(NULL AS VARCHAR) AS variant_id,
+    CASE WHEN flag <> 'N' THEN 'v-' || l_partkey || '-' || edition END AS variant_id,
     CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey END AS provider_id, {_SUPPLIER_REGION} AS region_id,
     CASE l_linenumber WHEN 5 THEN 'RENTAL' WHEN 6 THEN 'RAAS' ELSE 'PURCHASE' END AS transaction_type,
     (['PUBLIC','FROM','ESTIMATED','RANGE','QUOTE_ONLY'])[(l_partkey + l_suppkey) % 5 + 1] AS price_type,
@@ -100,7 +100,7 @@ SELECT l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_partkey AS
     CASE WHEN l_linenumber IN (5, 6) THEN 'MONTHLY' ELSE 'ONE_TIME' END AS billing_period,
     tax < 0.07 AS is_current, last_ship AS updated_at
 FROM (SELECT l_partkey, l_suppkey, l_linenumber, CAST(min(l_extendedprice) AS DECIMAL(14,2)) AS low,
-        CAST(max(l_shipdate) AS DATE) AS last_ship, min(l_tax) AS tax
+        min(l_returnflag) AS flag, min(l_linestatus) AS edition, CAST(max(l_shipdate) AS DATE) AS last_ship, min(l_tax) AS tax
       FROM lineitem WHERE l_linenumber >= 4 GROUP BY ALL) o
 JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "m_deployment": """

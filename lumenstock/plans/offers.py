@@ -80,9 +80,9 @@ def _(c):
     return applicable(c)
 
 
-@query("commercial_offer", "SELECT * EXCLUDE (variant_id) FROM m_offer")
+@query("commercial_offer", "SELECT * FROM m_offer")
 def _(c):
-    return commercial(c).drop("variant_id")
+    return commercial(c)
 
 
 @query("vertical_offers", """

@@ -184,11 +184,11 @@ class Catalog:
         line = F.col("l_linenumber")
         offers = self.table("lineitem").filter(line <= 3).groupBy("l_partkey", "l_suppkey", "l_linenumber").agg(
             F.concat(F.min("l_returnflag"), F.min("l_linestatus")).alias("flags"),
-            F.min("l_shipdate").cast("date").alias("first_ship"), F.min("l_tax").alias("tax"),
+            F.min("l_linestatus").alias("edition"), F.min("l_shipdate").cast("date").alias("first_ship"), F.min("l_tax").alias("tax"),
         )
         return offers.join(self._supplier_region(), F.col("l_suppkey") == F.col("s_suppkey")).select(
             F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("id"),
-            F.col("l_partkey").alias("product_id"), F.lit(None).cast("string").alias("variant_id"),
+            F.col("l_partkey").alias("product_id"), F.when(~F.col("flags").startswith("R"), F.concat_ws("-", F.lit("v"), "l_partkey", "edition")).alias("variant_id"),
             F.col("l_suppkey").alias("provider_id"), "region_id",
             vocab.lookup(line, {1: "PURCHASE", 2: "RENTAL", 3: "RAAS"}, None).alias("transaction_type"),
             vocab.lookup(
@@ -205,12 +205,13 @@ class Catalog:
         line, pair = F.col("l_linenumber"), (F.col("l_partkey") + F.col("l_suppkey")) % 5
         offers = self.table("lineitem").filter(line >= 4).groupBy("l_partkey", "l_suppkey", "l_linenumber").agg(
             F.min("l_extendedprice").cast("decimal(14,2)").alias("low"),
+            F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("edition"),
             F.max("l_shipdate").cast("date").alias("last_ship"), F.min("l_tax").alias("tax"),
         )
         transaction = vocab.lookup(line, {4: "PURCHASE", 7: "PURCHASE", 5: "RENTAL", 6: "RAAS"}, None)
         return offers.join(self._supplier_region(), F.col("l_suppkey") == F.col("s_suppkey")).select(
             F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("id"),
-            F.col("l_partkey").alias("product_id"), F.lit(None).cast("string").alias("variant_id"),
+            F.col("l_partkey").alias("product_id"), F.when(F.col("flag") != "N", F.concat_ws("-", F.lit("v"), "l_partkey", "edition")).alias("variant_id"),
             _null_if(F.col("l_suppkey") % 5 == 0, F.col("l_suppkey")).alias("provider_id"), "region_id",
             transaction.alias("transaction_type"),
             vocab.lookup(pair, dict(enumerate(vocab.PRICE_TYPE)), None).alias("price_type"),
