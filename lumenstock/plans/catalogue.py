@@ -412,6 +412,16 @@ _MODE = f"list_position({_sql_list(vocab.TRANSACTION_TYPE)}, transaction_type)"
 _SPECS = " UNION ALL ".join(f"SELECT id, 'spec', {i}, '{f}', '{f}|' || coalesce(CAST({f} AS VARCHAR), '') FROM m_product" for i, f in enumerate(reads.SPEC_FIELDS))
 
 
+shared_view("m_typed_spec", """
+SELECT s.id, product_id, variant_id, s.key, label, category, sort_order,
+    CASE WHEN value_number IS NOT NULL THEN 'number' WHEN value_bool IS NOT NULL THEN 'boolean' WHEN value_text IS NOT NULL THEN 'text' END AS kind,
+    value_number, CASE WHEN value_number IS NULL THEN value_bool END AS value_bool,
+    CASE WHEN value_number IS NULL AND value_bool IS NULL THEN value_text END AS value_text,
+    coalesce(regexp_replace(regexp_replace(CAST(value_number AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), CAST(value_bool AS VARCHAR), value_text) AS value,
+    coalesce(s.unit, d.unit) AS unit
+FROM m_specification s JOIN m_spec_definition d ON d.key = s.key""")
+
+
 @query("product_detail", f"""
 WITH e AS (
   SELECT product_id AS id, 'pricing' AS section, CAST({_MODE} * 10 + list_position({_sql_list(vocab.PRICE_TYPE)}, price_type) AS DOUBLE) AS o1, id AS o2,

@@ -62,14 +62,6 @@ SELECT concat_ws('-', CAST(product_id AS VARCHAR), key, variant_id) AS id, * FRO
   UNION ALL SELECT p_partkey, NULL, 'noise', CASE WHEN p_partkey % 3 = 1 THEN CAST(p_size + 0.5 AS DECIMAL(18,4)) END, NULL, CASE WHEN p_partkey % 3 <> 0 THEN 'quiet' END, NULL FROM part
   UNION ALL SELECT l_partkey, 'v-' || l_partkey || '-' || l_linestatus, 'largest_load', CAST(max(l_quantity) AS DECIMAL(18,4)), NULL, NULL, NULL
     FROM lineitem GROUP BY l_partkey, l_linestatus) s""",
-    "m_typed_spec": """
-SELECT s.id, product_id, variant_id, s.key, label, category, sort_order,
-    CASE WHEN value_number IS NOT NULL THEN 'number' WHEN value_bool IS NOT NULL THEN 'boolean' WHEN value_text IS NOT NULL THEN 'text' END AS kind,
-    value_number, CASE WHEN value_number IS NULL THEN value_bool END AS value_bool,
-    CASE WHEN value_number IS NULL AND value_bool IS NULL THEN value_text END AS value_text,
-    coalesce(regexp_replace(regexp_replace(CAST(value_number AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', ''), CAST(value_bool AS VARCHAR), value_text) AS value,
-    coalesce(s.unit, d.unit) AS unit
-FROM m_specification s JOIN m_spec_definition d ON d.key = s.key""",
     "m_capability": """
 SELECT l_partkey AS product_id, CASE l_returnflag WHEN 'A' THEN 'navigation' WHEN 'N' THEN 'grasping' WHEN 'R' THEN 'speech' END AS capability,
     max(l_discount) > 0.05 AS supported, CASE WHEN max(l_quantity) < 40 THEN 'up to ' || CAST(max(l_quantity) AS INTEGER) END AS detail
