@@ -144,6 +144,23 @@ def test_partitioning_does_not_change_matches(spark, small):
     assert _rows(mt.rank_matches(shuffled, 16)) == _rows(mt.rank_matches(small, 64))
 
 
+def test_unreachable_amounts_settle_in_finer_lists(spark, small, monkeypatch):
+    """Ten hours a day are beyond every product: the lists say so, and nobody reads the whole catalogue."""
+    products = small["products"].withColumns({
+        "runtime_minutes": F.lit(300), "payload_kg": F.lit(500).cast("decimal(6,1)"),
+        "has_manipulation": F.lit(True), "autonomy": F.lit("HIGHLY_AUTONOMOUS"),
+    })
+    nothing = F.lit(None)
+    needs = small["requirements"].filter("id % 10 = 0").withColumns({
+        "operating_hours_day": F.lit(10), "budget_min": nothing.cast("double"), "budget_max": nothing.cast("double"), "required_by": nothing.cast("date"),
+    })
+    reads, survivors = [], mt._survivors
+    monkeypatch.setattr(mt, "_survivors", lambda asked, entries, on: reads.append(on) or survivors(asked, entries, on))
+    found = mt.rank_matches({**small, "products": products, "requirements": needs}, list_length=4)
+    assert found.groupBy("requirement_id").count().filter("count = 4").count() == needs.count()
+    assert reads and ["product_id", "class"] not in reads
+
+
 def test_nothing_matches(spark, small):
     heavy = small["products"].withColumn("payload_kg", F.lit(1).cast("decimal(6,1)"))
     m = {**small, "products": heavy, "requirements": small["requirements"].withColumn("payload_min_kg", F.lit(50))}
