@@ -97,6 +97,29 @@ def test_ngram_join_equals_brute_force(spark, options):
     assert got == _brute(rows, options.get("words", 4), options.get("percent", 85))
 
 
+def test_ngram_join_block_returns_a_forest():
+    """A large group of near copies gives fewer links than documents, and only in the list of its least common shingle."""
+    import pyarrow as pa
+
+    group = [np.array(sorted([*range(2, 40), 100 + i]), np.uint64) for i in range(60)]
+    loose = [np.array([2, 3, *range(1000 * i, 1000 * i + 40)], np.uint64) for i in range(1, 6)]
+    sets = group + [np.unique(x) for x in loose]
+
+    def found(token):
+        return ngram_join._across(80)(pa.table({
+            "token": [token] * len(sets), "i": [0] * len(sets), "j": [0] * len(sets), "side": [0] * len(sets), "rep": list(range(len(sets))),
+            "n": [len(x) for x in sets], "c": list(range(len(sets))), "tokens": [x[:9].tolist() for x in sets], "longs": [[2, 3]] * len(sets),
+            "shingles": [x.tobytes() for x in sets]})).to_pylist()
+
+    groups = Groups()
+    links = found(2)
+    for link in links:
+        groups.union(link["a"], link["b"])
+    assert len(links) == 59 and {groups.find(i) for i in range(60)} == {0}
+    assert [groups.find(i) for i in range(60, 65)] == list(range(60, 65))
+    assert found(3) == []
+
+
 def test_ngram_join_takes_one_text_of_a_repeated_id(spark):
     """The longest, then the last in byte order; the other texts of the id link nothing."""
     first, last = "a b c d e f g", "h i j k l m n"
