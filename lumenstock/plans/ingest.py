@@ -99,13 +99,13 @@ def _(c):
 SELECT 'price' AS kind, doc AS product_slug, position, transaction_type, price_type AS detail, currency, billing_period FROM m_doc_price
 UNION ALL SELECT 'offer', doc, position, transaction_type, availability_status, NULL, NULL FROM m_doc_offer""")
 def _(c):
-    flat = docs.flatten_products(_full(c))
-    prices, offers = flat["pricing_offers"], flat["availability_offers"]
-    columns = ["product_slug", "position", "transaction_type"]
     none = F.lit(None).cast("string")
-    return prices.select(F.lit("price").alias("kind"), *columns, F.col("price_type").alias("detail"), "currency", "billing_period").unionByName(
-        offers.select(F.lit("offer").alias("kind"), *columns, F.col("availability_status").alias("detail"), none.alias("currency"), none.alias("billing_period"))
-    )
+    shape = lambda detail, *names: lambda read: [
+        read("transaction_type").alias("transaction_type"), read(detail).alias("detail"),
+        *[(read(n) if n in names else none).alias(n) for n in ("currency", "billing_period")]]
+    rows = docs.children(_full(c), {"pricing_offers": shape("price_type", "currency", "billing_period"), "availability_offers": shape("availability_status")})
+    kind = F.when(F.col("kind") == "pricing_offers", "price").otherwise("offer")
+    return rows.withColumn("kind", kind).select("kind", "product_slug", "position", "transaction_type", "detail", "currency", "billing_period")
 
 
 def _full(c: Catalog):
@@ -122,8 +122,7 @@ UNION ALL SELECT 'AVAILABILITY_OFFER', sha256(doc || '|availability_offers|' ||
   CASE WHEN n % 4 <> 1 THEN 'HIGH' ELSE 'MEDIUM' END, CASE WHEN n % 3 <> k THEN DATE '2026-01-01' END
 FROM (SELECT *, product_id + CAST(split_part(id, '-', 2) AS BIGINT) AS n FROM m_doc_offer) o, (VALUES (1), (2)) t(k) WHERE available_from IS NOT NULL""")
 def _(c):
-    flat = docs.flatten_products(_full(c))
-    return docs.explode_evidence(flat).select("subject_type", "subject_id", "source_url", "confidence", "verified_at")
+    return docs.document_evidence(_full(c)).select("subject_type", "subject_id", "source_url", "confidence", "verified_at")
 
 
 @query("upsert_dimension", """

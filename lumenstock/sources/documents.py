@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocab
+
 EVIDENCE = (
     "ARRAY<STRUCT<source_url STRING, source_type STRING, source_title STRING, excerpt STRING, published_at DATE, "
     "observed_at DATE, verified_at DATE, confidence STRING, note STRING>>"
@@ -71,7 +74,7 @@ def read_candidates(spark: SparkSession, path: str, multi_line: bool = True) ->
     return spark.read.schema(CANDIDATE_SCHEMA).option("multiLine", multi_line).json(path)
 
 
-def child_id(slug: Column, kind: str, position: Column) -> Column:
+def child_id(slug: Column, kind: str | Column, position: Column) -> Column:
     """Stable id of a child row: the same document always yields the same ids."""
     return F.sha2(F.concat_ws("|", slug, F.lit(kind), position.cast("string")), 256)
 
@@ -104,6 +107,36 @@ def explode_evidence(children: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("confidence", F.coalesce("confidence", F.lit("MEDIUM")))
 
 
+def children(docs: DataFrame, shapes: dict[str, Callable[[Callable[[str], Column]], list[Column]]]) -> DataFrame:
+    """(product_slug, kind, position, *fields) of several child lists in one pass over the documents.
+
+    `shapes` gives the fields of each kind from a function that reads a child's field with its default filled; names
+    and types agree over the kinds. The outer explode keeps Spark from testing the lists in a filter of its own below,
+    which would parse each document once more for every test.
+    """
+    def listed(kind, shape):
+        default = CHILD_DEFAULTS.get(kind, {})
+        read = lambda c: lambda name: F.coalesce(c[name], F.lit(default[name])) if name in default else c[name]
+        return F.transform(kind, lambda c, i: F.struct(F.lit(kind).alias("kind"), i.alias("position"), *shape(read(c))))
+
+    lists = F.flatten(F.array_compact(F.array(*[listed(kind, shape) for kind, shape in shapes.items() if kind in docs.columns])))
+    rows = docs.select(F.col("slug").alias("product_slug"), F.explode_outer(lists).alias("c")).where("c IS NOT NULL")
+    return rows.select("product_slug", "c.*")
+
+
+def document_evidence(docs: DataFrame) -> DataFrame:
+    """The rows of `explode_evidence` over all parts of the documents, in one pass."""
+    head = "commercial_status_evidence"
+    if head in docs.columns:
+        docs = docs.withColumn(head, F.array(F.struct(F.col(head).alias("evidence"))))
+    subjects = {head: "COMMERCIAL_STATUS"} | {kind: subject for kind, subject in CHILDREN.items() if subject}
+    rows = children(docs, {kind: lambda read: [read("evidence").alias("evidence")] for kind in subjects})
+    subject_id = F.when(F.col("kind") == head, F.col("product_slug")).otherwise(child_id(F.col("product_slug"), F.col("kind"), F.col("position")))
+    rows = rows.select("*", F.explode("evidence").alias("e"))
+    return rows.select(vocab.lookup(F.col("kind"), subjects, None).alias("subject_type"), subject_id.alias("subject_id"), "e.*").withColumn(
+        "confidence", F.coalesce("confidence", F.lit("MEDIUM")))
+
+
 # ---- writing into stored tables ------------------------------------------------------------------
 
 def upsert(target: DataFrame, source: DataFrame, key: str, cols: list[str]) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from lumenstock.plans import QUERIES
 from lumenstock.sources import documents as docs
 from lumenstock.sources import exports
 from lumenstock.sources.catalog import Catalog
@@ -76,3 +78,23 @@ def test_jsonld_is_valid_and_omits_unknown(spark, tmp_path):
     exports.export_sitemap(c.product, c.manufacturer, c.use_case, str(tmp_path / "sm"), "https://c.example")
     exports.export_llms_txt(c.product, c.manufacturer, c.use_case, str(tmp_path / "llms"), "https://c.example")
     assert spark.read.text(str(tmp_path / "ld")).count() == c.product.filter("is_published").count()
+
+
+@pytest.mark.parametrize("name", ["evidence_fanout", "flatten_offers"])
+def test_documents_are_parsed_once(spark, sf_dir, name):
+    """All child lists of a document come from one parse of its text."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_evidence_in_one_pass_equals_each_kind(spark, tmp_path):
+    part = {"evidence": [{"source_url": "u", "confidence": None}, {"source_url": "v", "confidence": "HIGH"}]}
+    rows = [
+        {"slug": "a", "commercial_status_evidence": [{"source_url": "s"}], "pricing_offers": [part, {"price": 1}, part], "deployments": [part], "variants": [{"slug": "x"}]},
+        {"slug": "b", "availability_offers": [{}, part], "pricing_offers": []}, {"slug": "c"}, {"slug": None, "pricing_offers": [part]},
+    ]
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, rows)))
+    read = docs.read_products(spark, str(tmp_path), multi_line=False)
+    got, want = docs.document_evidence(read), docs.explode_evidence(docs.flatten_products(read))
+    assert got.count() == 11 and got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
