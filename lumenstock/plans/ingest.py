@@ -52,9 +52,9 @@ def product_documents(c: Catalog):
 
 
 def stored_documents(c: Catalog):
-    """The documents written as JSON lines and scanned back with the full document schema."""
+    """The documents written as packed JSON lines and scanned back with the full document schema."""
     path = _scratch(c, "documents")
-    product_documents(c).write.json(path)
+    product_documents(c).write.option("compression", "gzip").json(path)
     return docs.read_products(c.spark, path, multi_line=False)
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lumenstock.plans import QUERIES
+from lumenstock.plans import QUERIES, ingest
 from lumenstock.sources import documents as docs
 from lumenstock.sources import exports
 from lumenstock.sources.catalog import Catalog
@@ -98,3 +98,9 @@ def test_evidence_in_one_pass_equals_each_kind(spark, tmp_path):
     got, want = docs.document_evidence(read), docs.explode_evidence(docs.flatten_products(read))
     assert got.count() == 11 and got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stored_documents_are_packed(spark, sf_dir):
+    stored = ingest.stored_documents(Catalog(spark, sf_dir))
+    assert stored.inputFiles() and all(f.endswith(".json.gz") for f in stored.inputFiles())
+    assert stored.count() == ingest.product_documents(Catalog(spark, sf_dir)).count()
