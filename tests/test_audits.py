@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lumenstock.operators import audits
+from lumenstock.operators import evidence as ev
 
 LOG = "id long, day int, note string"
 
@@ -22,3 +23,22 @@ def test_swapped_contents_are_seen(spark):
     before = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], LOG)
     after = spark.createDataFrame([(1, 1, "b"), (2, 1, "a")], LOG)
     assert audits.append_only_violations(before, after, ["id"], F.lit(0)).count() == 2
+
+
+def test_tokens_travel_as_bytes_and_any_text_comes_back(spark):
+    """Only tokens as this key issues them resolve; others, alike or null, keep their text."""
+    rows = [("e1", "DEPLOYMENT", "d1"), ("e2", "DEPLOYMENT", "gone"), ("e3", "OTHER", "d1")]
+    evidence = spark.createDataFrame(rows, "id string, subject_type string, subject_id string")
+    products = spark.createDataFrame([(1, True)], "id long, is_published boolean")
+    deployments = spark.createDataFrame([("d1", 1)], "id string, product_id long")
+    none = spark.createDataFrame([], "id string, product_id long, is_current boolean")
+    issue = lambda i: ev.issue_ref(F.lit(i), "s", "k1")
+    good = spark.range(1).select(issue("e1").alias("a"), issue("e2").alias("b"), issue("e3").alias("c")).first()
+    odd = [good.a.upper(), good.a + "0", good.a + "\n", good.a.replace("k1", "k2"), good.a[:-1], "er1.k1.", "", None, "forged"]
+    tokens = spark.createDataFrame([(t,) for t in [*good, good.a, *odd]], "token string")
+    found = ev.resolve_evidence(tokens, evidence, products, none, none, deployments, "s", "k1")
+    got = sorted(((r.token or "", r.token is None, r.evidence_id, r.outcome) for r in found.collect()), key=str)
+    want = [(good.a, False, "e1", "RESOLVED")] * 2 + [(t or "", t is None, None, "UNRESOLVED") for t in [good.b, good.c, *odd]]
+    assert got == sorted(want, key=str)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftOuter" in line]
+    assert joins and all("_asked" in line for line in joins)
