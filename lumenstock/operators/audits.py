@@ -40,37 +40,40 @@ def image_gaps(images: DataFrame) -> DataFrame:
     return images.filter(loose).withColumn("gaps", gap).filter(F.size("gaps") > 0)
 
 
-BUCKETS = 65536
+def _lanes(row: Column) -> list[Column]:
+    """Four numbers below 2**60 of a row's hash."""
+    return [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
 
 
-def _digests(log: DataFrame) -> DataFrame:
-    """One digest per bucket that does not depend on the order of its rows: count, sums and XOR of parts of the row hashes."""
-    lane = lambda i: F.conv(F.substring("_row", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
-    return log.groupBy("_bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(lane(0)).alias("s0"), F.sum(lane(1)).alias("s1"),
-        F.bit_xor(lane(2).cast("long")).alias("x2"), F.bit_xor(lane(3).cast("long")).alias("x3"),
-    )
+def _compared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the rows of each side, and whether both hold the same ones in any order.
+
+    Signed sums and XOR of parts of the row hashes are zero where the sides agree, so one pass folds both of them.
+    """
+    lanes = _lanes(F.col("_row"))
+    signed = lambda lane: F.sum(F.when(F.col("_before"), lane).otherwise(-lane))
+    folded = rows.groupBy(*keys).agg(
+        F.count_if("_before").alias("_was"), F.count_if(~F.col("_before")).alias("_is"), signed(lanes[0]).alias("_s0"), signed(lanes[1]).alias("_s1"),
+        F.bit_xor(lanes[2].cast("long")).alias("_x2"), F.bit_xor(lanes[3].cast("long")).alias("_x3"))
+    same = (F.col("_was") == F.col("_is")) & (F.col("_s0") == 0) & (F.col("_s1") == 0) & (F.col("_x2") == 0) & (F.col("_x3") == 0)
+    return folded.select(*keys, "_was", "_is", same.alias("_same"))
 
 
 def append_only_violations(before: DataFrame, after: DataFrame, key: list[str], bucket: Column | None = None) -> DataFrame:
-    """Rows of an append-only log that a later snapshot lost or changed.
+    """Keys of an append-only log whose rows a later snapshot lost or changed; a NULL in a key is a value of its own.
 
-    Two levels: both snapshots fold to one digest per bucket, and only rows of buckets of `before`
-    whose digests differ are compared one by one. `bucket` is a NULL-free function of the key, a hash of it
-    if not given; for a log that grows at its end, name its day, so that new rows touch no old bucket.
+    Both snapshots fold by key in one pass; where both are dealt out by that key already, nothing moves. `bucket` is a
+    NULL-free function of the key: then both fold to one digest per bucket first, and only rows of buckets of `before` whose
+    digests differ are folded by key. For a log that grows at its end, name its day, so that new rows touch no old bucket.
     """
-    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)) if bucket is None else bucket
-    content = lambda df: F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    hashed = lambda df: df.select(*key, bucket.alias("_bucket"), content(df).alias("_row"))
-    old, new = hashed(before), hashed(after)
-    packed = lambda df, name: _digests(df).select("_bucket", F.struct("n", "s0", "s1", "x2", "x3").alias(name))
-    differing = packed(old, "_was").join(packed(new, "_is"), "_bucket", "left").filter(
-        ~F.col("_was").eqNullSafe(F.col("_is"))).select("_bucket")
-    part = lambda df, name: df.join(differing, "_bucket", "left_semi").select(*key, F.col("_row").alias(name))
-    verdict = F.when(F.col("_new").isNull(), "missing").otherwise("changed")
-    return part(old, "_old").join(part(new, "_new"), key, "left").filter(
-        F.col("_new").isNull() | (F.col("_new") != F.col("_old"))
-    ).select(*key, verdict.alias("violation"))
+    content = lambda df: F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    mark = [] if bucket is None else [bucket.alias("_bucket")]
+    hashed = lambda df, side: df.select(*key, *mark, content(df).alias("_row"), F.lit(side).alias("_before"))
+    rows = hashed(before, True).unionByName(hashed(after, False))
+    if bucket is not None:
+        rows = rows.join(_compared(rows, ["_bucket"]).filter("_was > 0 AND NOT _same").select("_bucket"), "_bucket", "left_semi")
+    verdict = F.when(F.col("_is") == 0, "missing").otherwise("changed")
+    return _compared(rows, key).filter("_was > 0 AND NOT _same").select(*key, verdict.alias("violation"))
 
 
 def _known(cond: Column) -> Column:

@@ -42,3 +42,16 @@ def test_tokens_travel_as_bytes_and_any_text_comes_back(spark):
     assert got == sorted(want, key=str)
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftOuter" in line]
     assert joins and all("_asked" in line for line in joins)
+
+
+def test_a_log_dealt_out_by_its_key_does_not_move_again(spark):
+    """Null keys are values, and repeated rows compare as bags."""
+    log = spark.createDataFrame([(i % 50, i % 7, "x") for i in range(400)] + [(None, 1, "x")], LOG)
+    before = log.distinct()
+    after = before.filter("id <> 11 OR id IS NULL")
+    found = audits.append_only_violations(before.select("id", "day", "note"), after, ["id", "day", "note"])
+    assert {(r.id, r.violation) for r in found.collect()} == {(11, "missing")}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 2
+    twice = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (2, 1, "a"), (2, 1, "a")], LOG)
+    once = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (2, 1, "a")], LOG)
+    assert [tuple(r) for r in audits.append_only_violations(twice, once, ["id"]).collect()] == [(2, "changed")]
