@@ -133,12 +133,16 @@ def _key_sql(kind: str, table: str, key: list[str], where: str) -> str:
     _key_sql("availability", "m_availability", OFFER_KEY, "is_current"), _key_sql("pricing", "m_pricing", OFFER_KEY, "is_current"),
     _key_sql("specification", "(SELECT * REPLACE (NULL AS variant_id) FROM m_typed_spec)", SPEC_KEY, "true"), _key_sql("primary_image", "m_image", ["product_id"], "is_primary")]))
 def _(c):
-    """Specifications are given without their variant, a fault that makes the editions' entries collide."""
+    """Specifications are given without their variant, a fault that makes the editions' entries collide.
+
+    Their rows come several to a line of a narrow file and pack tightly, so they are dealt out by product before they fold, by a
+    number that adaptive execution does not merge: tasks sized by packed bytes would hold millions of keys. One product has few.
+    """
     def named(kind, rows, key):
         detail = [F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in key[1:]] or [F.lit("")]
         return rows.select(F.lit(kind).alias("key_of"), "product_id", F.concat_ws("|", *detail).alias("detail"), "n")
 
-    flat = c.specification.withColumn("variant_id", F.lit(None).cast("string"))
+    flat = c.specification.select("product_id", F.lit(None).cast("string").alias("variant_id"), "key").repartition(int(c.spark.conf.get("spark.sql.shuffle.partitions")), "product_id")
     parts = [
         named("availability", audits.duplicate_keys(c.availability, OFFER_KEY, "is_current"), OFFER_KEY),
         named("pricing", audits.duplicate_keys(c.pricing, OFFER_KEY, "is_current"), OFFER_KEY),

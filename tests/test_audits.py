@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenstock.operators import audits
 from lumenstock.operators import evidence as ev
+from lumenstock.plans import QUERIES
 
 LOG = "id long, day int, note string"
 
@@ -55,3 +56,18 @@ def test_a_log_dealt_out_by_its_key_does_not_move_again(spark):
     twice = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (2, 1, "a"), (2, 1, "a")], LOG)
     once = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (2, 1, "a")], LOG)
     assert [tuple(r) for r in audits.append_only_violations(twice, once, ["id"]).collect()] == [(2, "changed")]
+
+
+def test_specifications_fold_only_where_they_are_dealt_to(spark, sf_dir):
+    plan = QUERIES["unique_audit"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_NUM"):].split("- Generate explode")[0]
+    assert "partial_count" not in below
+
+
+def test_best_evidence_carries_only_what_is_asked(spark, sf_dir):
+    rows = [("a", "P", "1", None, 5, "LOW", "u1"), ("b", "P", "1", 3, 1, "HIGH", "u2"), ("c", "P", "1", 3, 2, "LOW", "u3"), ("d", "P", "1", 9, 2, "HIGH", "u4"), ("e", "P", "2", None, None, None, None)]
+    evidence = spark.createDataFrame(rows, "id string, subject_type string, subject_id string, verified_at int, observed_at int, confidence string, source_url string").withColumn("source_type", F.lit("x"))
+    some = ev.best_evidence(evidence, ["evidence_id", "confidence", "verified_at"])
+    assert sorted(tuple(r) for r in some.collect()) == [("P", "1", "d", "HIGH", 9), ("P", "2", "e", None, None)]
+    assert [tuple(r) for r in ev.best_evidence(evidence).filter("subject_id = '1'").collect()] == [("P", "1", "d", "x", "HIGH", 2, 9, "u4")]
+    assert "source.example" not in QUERIES["facts_with_evidence"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
