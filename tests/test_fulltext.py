@@ -54,3 +54,13 @@ def test_descriptions_of_their_own_and_a_word_of_most_products(spark):
     assert fulltext.matching_products(index, "common").count() == 500
     assert [r.id for r in fulltext.matching_products(index, "common scarce").collect()] == []
     assert [r.id for r in fulltext.matching_products(index, "common rarely").collect()] == [7]
+
+
+def test_entries_of_the_index_move_once(shelf, monkeypatch):
+    """The words meet their stems and fold without a move of their own; of several fields the weightiest counts."""
+    plans, store = {}, fulltext.materialize
+    monkeypatch.setattr(fulltext, "materialize", lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), store(df, label))[1])
+    index = fulltext.stored_index(fulltext.field_texts(shelf))
+    assert plans["text-index"].count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plans["text-index"]
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, fulltext.postings(fulltext.field_texts(shelf)).collect()))
+    assert {r.weight for r in index.where("product_id = 2 AND lexeme IN ('walker', 'box', 'run')").collect()} == {"A", "C"}
