@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from .stage import materialize
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: list[str], names: list[str] | None = None) -> DataFrame:
     """One row per key: the least under `order` (all ascending, NULL-free or struct-safe).
 
     An aggregate of one struct, so every map task folds its rows before the shuffle and a hot
-    key costs one row per task instead of one oversized window partition.
+    key costs one row per task instead of one oversized window partition. The order columns are
+    kept as well where `names` says under which names, so that none has to travel twice.
     """
     packed = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in keep])
     best = df.groupBy(*keys).agg(F.min(packed).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in keep])
+    return best.select(*keys, *[F.col(f"_best._o{i}").alias(n) for i, n in enumerate(names or [])], *[F.col(f"_best.{c}").alias(c) for c in keep])
 
 
 def descending(col: Column) -> Column:

@@ -88,3 +88,25 @@ def test_hot_product_keeps_one_row_per_offer(spark):
         F.lit("AVAILABLE").alias("availability_status"), F.lit(True).alias("is_current"))
     prices = spark.createDataFrame([price("n")], PRICE)
     assert offers.commercial_offer(many, prices, region(spark)).filter("pricing_offer_id = 'n'").count() == 2000
+
+
+def test_only_scopes_that_may_hold_a_price_are_looked_up(spark):
+    """Against all pairs, with few prices to a product, and with more than a mask tells apart."""
+    import random
+
+    rng = random.Random(3)
+    parents = {r[0]: r[1] for r in REGIONS}
+    some = lambda *values: rng.choice([None, *values])
+    prices = [(f"p{i}", *price(None, some("v1", "v2"), rng.choice([None, *range(60)]), some(0, 1, 2, 3), f"2026-01-{1 + i % 9:02}", i % 8 > 0)[1:]) for i in range(900)]
+    prices = [(p[0], 1 if i % 3 else 2 + i % 40, *p[2:]) for i, p in enumerate(prices)]
+    given = [(f"a{i}", rng.choice([1, 1, *range(2, 44)]), some("v1", "v2"), some(*range(60)), some(0, 1, 2, 3), "PURCHASE", "AVAILABLE", True) for i in range(400)]
+
+    def best(o):
+        levels = [r for r in dict.fromkeys([o[4], parents.get(o[4]), 0]) if r is not None] + [None]
+        fits = [p for p in prices if p[1] == o[1] and p[12] and p[2] in (None, o[2]) and p[3] in (None, o[3]) and p[4] in levels]
+        level = lambda p: 3 if p[4] is None else 0 if p[4] == o[4] else 1 if p[4] == parents.get(o[4]) else 2
+        return min(fits, key=lambda p: (p[3] is None, level(p), p[2] is None, -p[13].toordinal(), p[0]))[0] if fits else None
+
+    found = offers.commercial_offer(spark.createDataFrame(given, OFFER), spark.createDataFrame(prices, PRICE), region(spark))
+    assert {r.id: r.pricing_offer_id for r in found.collect()} == {o[0]: best(o) for o in given}
+    assert "bit_or" in found._jdf.queryExecution().optimizedPlan().toString()
