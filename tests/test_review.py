@@ -90,3 +90,17 @@ def test_empty_worksheet(spark, model):
     out = _apply(spark, model, spark.createDataFrame([], SHEET))
     assert all(out[name].count() == 0 for name in ("products", "makers", "fields", "evidence", "audit", "outcomes"))
     assert out["candidates"].count() == 7
+
+
+def test_a_worksheet_is_read_once(spark, model, tmp_path):
+    """What the sheet was made from is not computed again for its checks, its verdicts and its notes."""
+    seen = spark.sparkContext.accumulator(0)
+    sheet = _sheet(spark, model, {1: "confirm", 2: "skip", 5: "reject"})
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    out = _apply(spark, model, sheet.mapInArrow(counted, sheet.schema))
+    assert out["outcomes"].count() >= 3 and out["totals"].count() == 1 and seen.value == 3
