@@ -161,6 +161,21 @@ def test_unreachable_amounts_settle_in_finer_lists(spark, small, monkeypatch):
     assert reads and ["product_id", "class"] not in reads
 
 
+def test_cells_do_not_grow_with_copies_and_lists_are_the_first(spark, small):
+    """Bounds are scored once per cell and segment, so copies of products add entries and no scores."""
+    run = mt.prepare(small)
+    stock, segments = run["stock"], mt._segments(mt._finer(run["asked"], run["stock"], True))
+    copies = stock.withColumns({"product_id": F.col("product_id") + 10**6, "slug": F.concat("slug", F.lit("-copy"))})
+    both = stock.unionByName(copies)
+    once = mt._levels(mt._cells(stock, segments), segments, None)
+    assert mt._levels(mt._cells(both, segments), segments, None).count() == once.count() > 0
+    cells = mt._cells(both, segments)
+    first = mt.W.partitionBy("segment").orderBy("bound")
+    whole = mt._bounds(cells, mt._levels(cells, segments, None)).withColumn("place", F.row_number().over(first)).filter("place <= 5")
+    listed = lambda df: sorted((r.segment, r.place, r.product_id) for r in df.collect())
+    assert listed(mt._lists(both, segments, 5)) == listed(whole)
+
+
 def test_nothing_matches(spark, small):
     heavy = small["products"].withColumn("payload_kg", F.lit(1).cast("decimal(6,1)"))
     m = {**small, "products": heavy, "requirements": small["requirements"].withColumn("payload_min_kg", F.lit(50))}
