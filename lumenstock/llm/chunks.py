@@ -113,6 +113,7 @@ class Library(dict):
         self.special = os.path.commonprefix(added) if added else None
         self.old: dict = {}
         self.words: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -143,6 +144,8 @@ class Library(dict):
 
     def __missing__(self, key) -> bytes:
         ids = self.old.get(key)
+        if ids is None and self.direct and type(key) is str:
+            ids = self._word(key)
         if ids is None:
             chunk = literal(key)
             stem = chunk.rstrip(string.punctuation)
@@ -156,6 +159,19 @@ class Library(dict):
         self[key] = ids
         return ids
 
+    def _word(self, key: str) -> bytes | None:
+        """Ids of a space and ASCII letters, perhaps with punctuation after them: most of a text, so no longer way is taken."""
+        word = key.rstrip(string.punctuation)
+        if not (word.isascii() and word.isalpha()):
+            return None
+        ids = self.spaced.get(word)
+        if ids is None:
+            if len(self.spaced) >= self.size:
+                self.spaced.clear()
+            found = self.tokenize(self.space + (word.lower() if self.lower else word))
+            ids = self.spaced[word] = array.array("I", [t.id for t in found]).tobytes()
+        return ids if len(word) == len(key) else ids + self._part(key[len(word):])
+
     def _ends(self, last: str) -> bool:
         """Whether a letter or digit is still the last thing once `last` is normalised; a mark would go with what follows."""
         if not last.isascii() and self.lower:
@@ -167,6 +183,7 @@ class Library(dict):
         self.clear()
         self.old.clear()
         self.words.clear()
+        self.spaced.clear()
 
     def texts(self, texts: list[str]):
         """Ids of each text. Nothing here makes reference cycles, and the collector's passes over the kept words cost a fifth of the time."""

@@ -46,6 +46,22 @@ def test_random_texts_encode_like_the_library(name):
     assert len(own) <= 50 and len(own.words) <= 50
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_words_are_encoded_once_and_directly(name):
+    """A word and the same word before punctuation share one call of the model, and the whole way is not taken."""
+    from tokenizers import Tokenizer
+
+    t, own, calls = Tokenizer.from_file(public.path(name)), Library(public.path(name), size=50), []
+    tokenize = own.tokenize
+    own.tokenize = lambda word: calls.append(word) or tokenize(word)
+    text = "x Wherer Wherer, Wherer... (Wherer) x' don't"
+    (got,) = own.texts([text])
+    assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert sum("herer" in c for c in calls) == 1 and set(own.spaced) >= {"Wherer", "x"}
+    own.forget()
+    assert not own.spaced
+
+
 @pytest.fixture(scope="module")
 def multi():
     import tiktoken
